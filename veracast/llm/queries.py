@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import read_documents
+from .common import read_documents, remainder_col
 
 
 def _vocabulary(name: str) -> str:
@@ -16,12 +17,42 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import find_contamination, hit_words
+
+    found = find_contamination(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark")).withColumn("n_hit", hit_words())
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(read_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
 
 
+def op4_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality, train
+
+    docs = read_documents(spark, sf_dir)
+    scored = score_quality(docs, train(docs, read_documents(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder_col("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import predict_languages, train
+
+    docs = read_documents(spark, sf_dir)
+    found = predict_languages(docs, train(docs))
+    return found.select("doc_id", (remainder_col("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import count_tokens
 
@@ -29,7 +60,7 @@ def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pack_sequences, op10_count_tokens)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pack_sequences, op4_score_quality, op5_identify_language, op10_count_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
