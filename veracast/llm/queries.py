@@ -37,6 +37,12 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
 
 
+def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(read_documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score_quality, train
 
@@ -60,7 +66,7 @@ def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_pack_sequences, op4_score_quality, op5_identify_language, op10_count_tokens)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pack_sequences, op3_simhash_components, op4_score_quality, op5_identify_language, op10_count_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
