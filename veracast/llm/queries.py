@@ -59,6 +59,20 @@ def op5_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder_col("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_personal_data
+
+    found = find_personal_data(read_documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest_neighbours
+
+    vectors = read_documents(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import count_tokens
 
@@ -66,7 +80,7 @@ def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_pack_sequences, op3_simhash_components, op4_score_quality, op5_identify_language, op10_count_tokens)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pack_sequences, op3_simhash_components, op4_score_quality, op5_identify_language, op7_personal_data, op8_nearest_vectors, op10_count_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
