@@ -73,6 +73,12 @@ def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm import score_documents
+
+    return score_documents(read_documents(spark, sf_dir))
+
+
 def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import count_tokens
 
@@ -80,7 +86,7 @@ def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_pack_sequences, op3_simhash_components, op4_score_quality, op5_identify_language, op7_personal_data, op8_nearest_vectors, op10_count_tokens)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pack_sequences, op3_simhash_components, op4_score_quality, op5_identify_language, op7_personal_data, op8_nearest_vectors, op9_language_model, op10_count_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
