@@ -59,6 +59,12 @@ def op5_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder_col("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op6_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(read_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_personal_data
 
@@ -86,7 +92,7 @@ def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_pack_sequences, op3_simhash_components, op4_score_quality, op5_identify_language, op7_personal_data, op8_nearest_vectors, op9_language_model, op10_count_tokens)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_pack_sequences, op3_simhash_components, op4_score_quality, op5_identify_language, op6_remove_repeats, op7_personal_data, op8_nearest_vectors, op9_language_model, op10_count_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
