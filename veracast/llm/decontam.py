@@ -256,22 +256,22 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, block_b
         yield Windows(part.column("id").to_pylist(), part.column("text").to_pylist(), size)
 
 
-_SCHEMA = "id {kind}, text string, n_words long, words array<long>, bytes array<long>, item_ids array<string>"
+_SCHEMA = "id {kind}, text string, row {row}, n_words long, words array<long>, bytes array<long>, item_ids array<string>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: ``id_col``, text, n_words, words and bytes (merged spans of hit words, flat: start, end, ...;
     in words and in UTF-8 bytes), item_ids (distinct, as strings) whose windows occur.
 
-    A window is ``window`` consecutive words of an item, or all words of a shorter one.
+    ``keep`` names columns to carry along, as the fields of a struct ``row``.  A window is ``window`` consecutive words of an item, or all words of a shorter one.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("array() :: array<long>").alias("words"), F.expr("array() :: array<long>").alias("bytes"), F.expr("array() :: array<string>").alias("item_ids"))
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*keep).alias("row") if keep else F.lit(None).cast("int").alias("row"), F.lit(0).cast("long").alias("n_words"), F.expr("array() :: array<long>").alias("words"), F.expr("array() :: array<long>").alias("bytes"), F.expr("array() :: array<string>").alias("item_ids"))
+    kind, row = (out.schema[c].dataType.simpleString() for c in ("id", "row"))
     spark = docs.sparkSession
     blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
     for windows in [next(blocks, Windows([], [], window)), *blocks]:
-        out = out.mapInArrow(_stage(spark.sparkContext.broadcast(windows)), _SCHEMA.format(kind=kind))
-    return out.withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
+        out = out.mapInArrow(_stage(spark.sparkContext.broadcast(windows)), _SCHEMA.format(kind=kind, row=row))
+    return (out if keep else out.drop("row")).withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
 
 
 def _stage(shared):
@@ -299,7 +299,7 @@ def _stage(shared):
             cuts = [_union(a, b) for a, b in zip(cuts, had[1], strict=True)]
             items = [sorted({*a, *b}) for a, b in zip(items, had[2], strict=True)]
             longs, strings = pa.list_(pa.int64()), pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(np.diff(bounds)), pa.array(words, longs), pa.array(cuts, longs), pa.array(items, strings)], ["id", "text", "n_words", "words", "bytes", "item_ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), batch.column("row"), pa.array(np.diff(bounds)), pa.array(words, longs), pa.array(cuts, longs), pa.array(items, strings)], ["id", "text", "row", "n_words", "words", "bytes", "item_ids"])
 
     return run
 
@@ -317,3 +317,17 @@ def without_spans(text: str, flat: list[int]) -> str:
         out.append(raw[at:s])
         at = e
     return b"".join([*out, raw[at:]]).decode()
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, most: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the benchmark: documents of whose words at least the share ``most`` is hit go, from others the merged spans are cut."""
+    found = find_contamination(docs, benchmark, window, id_col, text_col, keep=tuple(docs.columns)).withColumn("n_hit", hit_words())
+    clean = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < most * F.col("n_words"))).select("row", F.col(text_col).alias("text"), "bytes")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [t if t is None or not flat else without_spans(t, flat) for t, flat in zip(batch.column("text").to_pylist(), batch.column("bytes").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "text"])
+
+    out = clean.mapInArrow(cut, f"row {clean.schema['row'].dataType.simpleString()}, text string")
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

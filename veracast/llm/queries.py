@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import read_documents, remainder_col
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """Path of a public tokenizer file, as installed alike on the driver and the executors."""
     import public_tokenizers
 
@@ -34,7 +34,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
-    return pack_documents(read_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
+    return pack_documents(read_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_count import count_tokens
 
-    return count_tokens(read_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
+    return count_tokens(read_documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
