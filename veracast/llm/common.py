@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once by a Python worker; a single longer text is still taken whole.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
+#: Bytes of a batch between Spark and Python, which both hold at once.
+BATCH_BYTES = 4 << 20
+#: Bytes that a task writing a table holds before it lets them go.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -54,7 +58,15 @@ def remainder_col(id_col: str, modulus: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % modulus
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers hold: batches by bytes, so that long texts do not add up, and one heap that gives memory back."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "1")):
+        spark.sparkContext.environment.setdefault(name, value)
+
+
 def read_documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -73,7 +85,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veracast-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -97,8 +109,27 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     return have
 
 
+#: Bytes hashed at once; the working arrays take some thirty times that.
+HASH_BYTES = 1 << 20
+
+
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each raw[start:end], equal for equal bytes wherever they stand (differences of a running polynomial)."""
+    """A 64-bit hash of each raw[start:end], equal for equal bytes wherever they stand (differences of a running polynomial).
+
+    Spans come in the order of their starts, and are taken block by block.
+    """
+    if len(raw) <= HASH_BYTES or not len(start):
+        return _span_hashes(raw, start, end)
+    out = np.empty(len(start), np.uint64)
+    cuts = np.unique(np.searchsorted(start, np.arange(0, len(raw), HASH_BYTES)))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(start)], strict=True):
+        if b > a:
+            lo, hi = int(start[a]), int(end[a:b].max())
+            out[a:b] = _span_hashes(raw[lo:hi], start[a:b] - lo, end[a:b] - lo)
+    return out
+
+
+def _span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     n = len(raw)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers("up", _STEP, n + 1)[:n], out=total[1:])
@@ -121,3 +152,32 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edge = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))
     return edge[::2], edge[1::2]
+
+
+def by_part(ids: np.ndarray, hs: np.ndarray, sizes: np.ndarray, data: bytes, parts: int) -> pa.RecordBatch:
+    """Rows of (id, h, bytes) as one blob for each part that ids fall into: (part, blob). Rows stay few however many the ids are."""
+    part = ((ids.astype(np.uint64) * _STEP) >> np.uint64(33)).astype(np.int64) % parts
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    raw, start, rows = np.frombuffer(data, np.uint8), np.cumsum(sizes) - sizes, []
+    for p in np.flatnonzero(np.diff(edges)).tolist():
+        o = order[edges[p] : edges[p + 1]]
+        rows.append((p, b"".join((np.int64(len(o)).tobytes(), ids[o].tobytes(), hs[o].tobytes(), sizes[o].astype(np.int64).tobytes(), raw[ragged(start[o], sizes[o])].tobytes()))))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "blob"])
+
+
+def from_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in a task's blobs as (id, h, data), the bytes of equal (id, h) joined."""
+    found: dict[tuple[int, int], list[bytes]] = {}
+    for batch in batches:
+        for blob in batch.column("blob").to_pylist():
+            n = int(np.frombuffer(blob, np.int64, 1)[0])
+            ids, hs, sizes = (np.frombuffer(blob, np.int64, n, 8 + 8 * k * n).tolist() for k in range(3))
+            at = 8 + 24 * n
+            for i, h, size in zip(ids, hs, sizes, strict=True):
+                found.setdefault((i, h), []).append(blob[at : at + size])
+                at += size
+    keys = list(found)
+    for k in range(0, len(keys), 5000):
+        part = keys[k : k + 5000]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([h for _, h in part], pa.int64()), pa.array([b"".join(found.pop(x)) for x in part], pa.binary())], ["id", "h", "data"])

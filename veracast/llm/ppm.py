@@ -38,7 +38,7 @@ ORDER = 5
 #: Contexts kept of three, four, ... bytes.
 KEPT = (24_576, 49_152, 49_152)
 #: Training bytes for each bucket of word hashes, and for each task that merges counts.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 24 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -86,13 +86,13 @@ def context_counts(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=1 << 20):
             batch = batch.filter(pa.array(_is_training(batch.column("id").to_pylist(), modulus, held_out)))
             if batch.num_rows:
                 symbols, ask, _ = stream(*utf8(batch.column("text")))
                 held.append(np.unique(strings(symbols, ask), return_counts=True))
                 size += len(held[-1][0])
-                if size > 4_000_000 and len(held) > 1:
+                if size > 1_500_000 and len(held) > 1:
                     held = [merged(*(np.concatenate(x) for x in zip(*held, strict=True)))]
                     size = len(held[0][0]) // 2
         if held:
@@ -149,7 +149,7 @@ class Trie:
         self.base, tables, low, at = [], [], None, 0
         states: list[dict | np.ndarray] = []
         for order, (contexts, counts) in enumerate(levels):
-            counts = np.concatenate([counts[:, self.letters], np.zeros((len(counts), 1))], 1)
+            counts = np.concatenate([counts[:, self.letters], np.zeros((len(counts), 1), counts.dtype)], 1)
             if order:
                 known = levels[order - 1][0]
                 suffix = contexts & ((1 << 8 * (order - 1)) - 1)
@@ -161,11 +161,11 @@ class Trie:
             below = np.empty((len(contexts), w), np.float32) if order < ORDER else None
             for k in range(0, len(contexts), 4096):
                 s = slice(k, k + 4096)
-                n = counts[s]
+                n = counts[s].astype(np.float64)
                 has = n > 0
                 total, kinds = n.sum(1, keepdims=True), has.sum(1, keepdims=True)
                 if order:
-                    shorter = last_counts[place[s]]
+                    shorter = last_counts[place[s]].astype(np.float64)
                     rest = np.where(has, 0.0, shorter)
                     d = (shorter > 0).sum(1, keepdims=True) - kinds
                     room = np.maximum(rest.sum(1, keepdims=True) + d, 1)
@@ -189,7 +189,7 @@ class Trie:
     def _dense(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         contexts = np.array(table.column("context").to_pylist(), np.int64)
         order = np.argsort(contexts)
-        out = np.zeros((len(contexts), 256), np.float64 if len(contexts) < 1 << 14 else np.float32)
+        out = np.zeros((len(contexts), 256), np.float32)
         symbols, counts = table.column("symbols").to_pylist(), table.column("counts").to_pylist()
         for row, k in enumerate(order.tolist()):
             out[row, np.frombuffer(symbols[k], np.uint8)] = np.frombuffer(counts[k], np.int64)
@@ -289,7 +289,7 @@ def _read_blob(blob: bytes) -> tuple:
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document with words here: the sum of log10(c + 1) and of known words; under key -1 the distinct and all training words."""
+    """For each chunk, its documents' sums of log10(c + 1) and of known words; under key -1 the distinct and all training words."""
     blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]
     if not blobs:
         return
@@ -307,19 +307,30 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts.clear()
     worth = np.log10(c + 1.0)
 
-    def batch(key, s, known) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(s, pa.float64()), pa.array(known, pa.int64())], ["row_key", "s", "known"])
-
-    at = 0
+    rows, at = [], 0
     for blob, n in zip(blobs, sizes, strict=True):
         first_key, _, _, holders, doc, size = _read_blob(blob)
         mine = np.repeat(which[at : at + n], holders)
         at += n
-        s, has = np.bincount(doc, worth[mine] * size), np.bincount(doc, minlength=1)
+        s = np.bincount(doc, worth[mine] * size)
         known = np.bincount(doc, np.where(c[mine] > 0, size, 0))
-        there = np.flatnonzero(has)
-        yield batch(first_key + there, s[there], known[there].astype(np.int64))
-    yield batch([-1], [float((c > 0).sum())], [int(c.sum())])
+        rows.append((first_key, s.tobytes(), known.astype(np.int64).tobytes()))
+    rows.append((-1, np.array([(c > 0).sum()], np.float64).tobytes(), np.array([c.sum()], np.int64).tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["first_key", "s", "known"])
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The buckets' sums of each chunk added, a row for each of its documents; key -1 as it is."""
+    found: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for key, *blobs in zip(*(batch.column(c).to_pylist() for c in ("first_key", "s", "known")), strict=True):
+            for k, (blob, kind) in enumerate(zip(blobs, (np.float64, np.int64), strict=True)):
+                part, have = np.frombuffer(blob, kind), found.setdefault(key, [np.zeros(0), np.zeros(0, np.int64)])
+                if len(part) > len(have[k]):
+                    have[k] = np.r_[have[k], np.zeros(len(part) - len(have[k]), kind)]
+                have[k][: len(part)] += part
+    for key, (s, known) in found.items():
+        yield pa.RecordBatch.from_arrays([pa.array(key + np.arange(len(s))), pa.array(s), pa.array(known)], ["row_key", "s", "known"])
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, kept: tuple[int, ...] = KEPT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,7 +345,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, kept:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         key = (context.partitionId() if context else 0) << 40
-        for big in chunks(batches):
+        for big in chunks(batches, limit=2 << 20):
             for cut in range(0, big.num_rows, 1 << 15):
                 batch = big.slice(cut, 1 << 15)
                 train_row = _is_training(batch.column("id").to_pylist(), modulus, held_out)
@@ -355,10 +366,12 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, kept:
     names = ["row_key", "id", "held_out", "n_tokens", "score", "bucket", "blob"]
     both = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _OUT.format(kind=kind)), "word-blobs")
     words = both.where("bucket is not null").select("bucket", "blob").repartition(n_buckets, "bucket")
-    sums = stored(words.mapInArrow(_sums, "row_key long, s double, known long"), "word-sums")
+    shared.unpersist()
+    sums = words.mapInArrow(_sums, "first_key long, s binary, known binary").repartition(shuffle_parts(spark), "first_key")
+    sums = stored(sums.mapInArrow(_add_up, "row_key long, s double, known long"), "word-sums")
     n_types, n_words = sums.where("row_key = -1").agg(F.sum("s"), F.sum("known")).first()
     n_types, n_words = n_types or 0.0, n_words or 0
-    of = sums.where("row_key >= 0").groupBy("row_key").agg(F.sum("s").alias("s"), F.sum("known").alias("n_known"))
+    of = sums.where("row_key >= 0").select("row_key", "s", F.col("known").alias("n_known"))
     rows = both.where("bucket is null").drop("bucket", "blob").join(of, "row_key")
     base = F.col("s") - F.col("n_tokens") * float(np.log10(n_words + n_types + 1.0))
     return rows.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_words).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
