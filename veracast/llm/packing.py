@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, ragged, span_hashes, texts
 
-CACHE_SIZE = 300_000
+CACHE_SIZE = 150_000
 #: Open remainders that a sequence is filled from.
 WINDOW = 256
 

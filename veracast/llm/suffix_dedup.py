@@ -3,8 +3,10 @@
 A byte goes if some string of ``length`` bytes over it also starts in a document with a smaller id.  Two places that share such
 a string share the string's anchor, the 25 bytes in it that hash lowest, so the corpus is split by anchors:
 
-1. Each chunk of texts sends its anchors' hashes to their buckets, which send back to each document those that occur in
-   another document as well.
+0. Of equal texts the one with the smallest id stands for all: the others lose every byte, as each window of theirs is in it.
+1. Each chunk of the other texts sends its anchors' hashes to their buckets, each with a byte that tells of the 13 bytes on its left and
+   one of those on its right: a shared string reaches at least that far on one side.  Buckets send back to each document the
+   anchors that another document has with the same byte on the same side.
 2. Documents send the surroundings of these anchors, the windows that have them as their anchor, to the same buckets.
 3. A bucket collapses equal surroundings and sorts the suffixes of the different ones.  Suffixes smaller than their successors
    are sorted directly by their first 56 bytes; the others are induced from them, first byte by first byte, each from the suffix
@@ -12,8 +14,8 @@ a string share the string's anchor, the 25 bytes in it that hash lowest, so the
    holds a smaller id.
 4. Spans come back to their documents and are merged.
 
-Texts are compressed before they are dealt out, once for both joins.  Rows are known by id and a hash of the text: rows that
-repeat both have the same result.  A hot passage is one surrounding per bucket with a list of its places.
+Texts are compressed before they are dealt out, once for both joins.  Spans go by id and a hash of the text: rows that repeat
+both have the same result.  A hot passage is one surrounding per bucket with a list of its places.
 
 Defined results: a null or empty text has no bytes; texts shorter than ``length`` lose nothing; a row without an id neither loses
 bytes nor makes others lose any; rows sharing an id do not count against each other; an empty table gives an empty result; other
@@ -30,11 +32,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ragged, shuffle_parts, span_hashes, texts, utf8
+from .common import by_part, chunks, from_parts, ragged, shuffle_parts, span_hashes, stored, texts
 
-LENGTH, ANCHOR = 50, 25
-#: Text bytes for each bucket of anchors; bytes of a text handled at once; bytes of surroundings sorted together.
-BUCKET_BYTES, PIECE, SORT_BYTES = 64 << 20, 1 << 20, 2 << 20
+LENGTH, ANCHOR, SIDE = 50, 25, 13
+#: Text bytes for each bucket of anchors, and of surroundings; bytes of a text handled at once; bytes of surroundings sorted together.
+BUCKET_BYTES, PLACE_BYTES, PIECE, SORT_BYTES = 64 << 20, 24 << 20, 1 << 20, 2 << 20
 _HASH_BITS = 40
 
 
@@ -47,62 +49,53 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - step)], x[width - step :]) if width > step else x
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor of a text: its hash, its place, and the first and last window whose anchor it is."""
-    n = len(raw)
-    if n < length:
+def _tags(h: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A byte for the bytes left of each anchor and one for those right of it; 0 where no window reaches ``SIDE`` bytes that way.
+
+    ``h`` has the hashes at all places: those ``SIDE`` places off cover the anchor's own bytes and the ones beside it.
+    """
+    left, right = place - lo >= SIDE, hi >= place - SIDE + 1
+    tag = lambda at, ok: np.where(ok, (h[np.clip(at, 0, len(h) - 1)] >> np.uint64(56)).astype(np.int64) % 255 + 1, 0).astype(np.uint8)
+    return tag(place - SIDE, left), tag(place + SIDE, right)
+
+
+def anchors(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Of each anchor of some texts laid end to end: hash, left and right byte, text, and the first and last window (places
+    within the text) whose anchor it is."""
+    windows = np.maximum(np.diff(bounds) - length + 1, 0)
+    if not windows.any():
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z, z
-    at = np.arange(n - size + 1)
-    h = span_hashes(raw, at, at + size)
+        return z.astype(np.uint64), z.astype(np.uint8), z.astype(np.uint8), z, z, z
+    at = np.arange(len(raw) - ANCHOR + 1)
+    h = span_hashes(raw, at, at + ANCHOR)
     key = (h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
-    place = (sliding_least(key, length - size + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    place = (sliding_least(key, length - ANCHOR + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    begin = ragged(bounds[:-1], windows)
+    text = np.repeat(np.arange(len(windows)), windows)
+    place = place[begin]
+    first = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
     last = np.r_[first[1:], len(place)] - 1
-    return h[place[first]], place[first], first, last
+    text, place, lo, hi = text[first], place[first], begin[first], begin[last]
+    left, right = _tags(h, place, lo, hi)
+    return h[place], left, right, text, lo - bounds[text], hi - bounds[text]
 
 
-def text_anchors(raw: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first and last window of each anchor of a text of any size, taken piece by piece."""
-    parts = []
-    for a in range(0, max(1, len(raw) - length + 1), PIECE):
-        h, _, lo, hi = anchors(raw[a : a + PIECE + length - 1], length)
-        parts.append((h, lo + a, hi + a))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-
-def chunk_anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, text, first and last window (within the text) of all anchors of a chunk; short texts are hashed together."""
+def chunk_anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """``anchors`` of all texts of a chunk, a bounded number of bytes at once: short texts together, long ones in pieces."""
     out = []
     n, k = len(offsets) - 1, 0
     while k < n:
-        j = k + 1
-        while j < n and offsets[j + 1] - offsets[k] <= PIECE:
-            j += 1
-        if j == k + 1:
-            h, lo, hi = text_anchors(raw[offsets[k] : offsets[j]], length)
-            out.append((h, np.full(len(h), k), lo, hi))
-        else:
-            base = offsets[k]
-            part, bounds = raw[base : offsets[j]], offsets[k : j + 1] - base
-            if len(part) >= length:
-                at = np.arange(len(part) - ANCHOR + 1)
-                h = span_hashes(part, at, at + ANCHOR)
-                key = (h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
-                place = (sliding_least(key, length - ANCHOR + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                begin = ragged(bounds[:-1], np.maximum(np.diff(bounds) - length + 1, 0))
-                text = np.repeat(np.arange(k, j), np.maximum(np.diff(bounds) - length + 1, 0))
-                place = place[begin]
-                if len(place):
-                    new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])])
-                    last = np.r_[new[1:], len(place)] - 1
-                    start = bounds[text[new] - k]
-                    out.append((h[place[new]], text[new], begin[new] - start, begin[last] - start))
+        j = max(k + 1, int(np.searchsorted(offsets, offsets[k] + PIECE, side="right")) - 1)
+        for a in range(int(offsets[k]), max(int(offsets[j]) - length + 1, int(offsets[k]) + 1), PIECE):
+            piece = raw[a : min(a + PIECE + length - 1, int(offsets[j]))]
+            bounds = offsets[k : j + 1] - offsets[k] if j > k + 1 else np.array([0, len(piece)])
+            h, left, right, text, lo, hi = anchors(piece, bounds, length)
+            shift = a - int(offsets[k])
+            out.append((h, left, right, text + k, lo + shift, hi + shift))
+            if j > k + 1:
+                break
         k = j
-    if not out:
-        z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z, z, z
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else anchors(raw[:0], np.zeros(1, np.int64), length)
 
 
 def two_stage_order(symbols: np.ndarray, depth: int) -> np.ndarray:
@@ -221,65 +214,94 @@ def _long(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _expanded(batches: Iterator[pa.RecordBatch], needed: str | None = None) -> Iterator[tuple]:
+    """Bytes, offsets, ids, hashes and the column ``needed`` (rows without it left out) of texts that have an id and are no copies."""
+    expand = zstandard.ZstdDecompressor()
+    for batch in chunks(batches, "z", 512 << 10):
+        rows = [(i, h, z, x) for i, h, z, of, x in zip(*(batch.column(c).to_pylist() for c in ("id", "h", "z", "copies", needed or "copies")), strict=True) if i is not None and not (of and h in of) and (x is not None or not needed)]
+        if rows:
+            ids, hs, zs, extra = zip(*rows, strict=True)
+            texts_ = [expand.decompress(z) for z in zs]
+            yield np.frombuffer(b"".join(texts_), np.uint8), np.cumsum([0, *map(len, texts_)]), np.array(ids), np.array(hs), list(extra)
+
+
 def _send_anchors(n_buckets: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            ids, hs = batch.column("id").to_numpy(), batch.column("h").to_numpy()
-            g, text, _, _ = chunk_anchors(*utf8(batch.column("text")), length)
+        for raw, offsets, ids, _, _ in _expanded(batches):
+            g, left, right, text, _, _ = chunk_anchors(raw, offsets, length)
             rows = []
             for b, o in _by_bucket(_bucket(g, n_buckets), n_buckets):
                 who, count = np.unique(text[o], return_counts=True)
-                rows.append((b, np.int64(len(who)).tobytes() + ids[who].tobytes() + hs[who].tobytes() + count.astype(np.uint32).tobytes() + _short(g[o])))
+                head = np.array([len(who), len(o)], np.int64).tobytes()
+                rows.append((b, head + ids[who].tobytes() + count.astype(np.uint32).tobytes() + _short(g[o]) + left[o].tobytes() + right[o].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
     return run
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document the anchors that another document has as well."""
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The blobs of each bucket in a task."""
     by_bucket: dict[int, list[bytes]] = {}
     for batch in batches:
         for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
             by_bucket.setdefault(b, []).append(blob)
-    for blobs in by_bucket.values():
-        ids, hs, counts, gs = [], [], [], []
-        for blob in blobs:
-            n = int(np.frombuffer(blob, np.int64, 1)[0])
-            ids.append(np.frombuffer(blob, np.int64, n, 8))
-            hs.append(np.frombuffer(blob, np.int64, n, 8 + 8 * n))
-            counts.append(np.frombuffer(blob, np.uint32, n, 8 + 16 * n))
-            gs.append(_long(blob[8 + 20 * n :]))
-        ids, hs, counts, g = (np.concatenate(x) for x in (ids, hs, counts, gs))
-        who = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
-        order = np.argsort(g, kind="stable")
-        g, who = g[order], who[order]
-        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-        mixed = np.minimum.reduceat(ids[who], first) < np.maximum.reduceat(ids[who], first)
-        keep = np.repeat(mixed, np.diff(np.r_[first, len(g)]))
-        g, who = g[keep], who[keep]
-        order = np.argsort(who, kind="stable")
-        g, who = g[order], who[order]
-        edges = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, np.int64)
-        data = _short(g)
-        ends = [*edges[1:].tolist(), len(g)]
-        for k in range(0, len(edges), 10_000):
-            part = edges[k : k + 10_000]
-            blobs_out = [data[5 * a : 5 * b] for a, b in zip(part.tolist(), ends[k : k + 10_000], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[who[part]]), pa.array(hs[who[part]]), pa.array(blobs_out, pa.binary())], ["id", "h", "shared"])
+    while by_bucket:
+        yield by_bucket.popitem()[1]
+
+
+def _in_several(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each key also occurs with another id."""
+    order = np.argsort(key, kind="stable")
+    key, ids = key[order], ids[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    out = np.empty(len(key), bool)
+    out[order] = np.repeat(np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first), np.diff(np.r_[first, len(key)]))
+    return out
+
+
+def _shared_anchors(parts: int):
+    """For each id the anchors that another id has as well, with the same bytes on one side as far as can be told."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blobs in _by_key(batches):
+            g, who = _bucket_shared(blobs)
+            who, count = np.unique(who, return_counts=True)
+            yield by_part(who, np.zeros_like(who), 5 * count, _short(g), parts)
+
+    return run
+
+
+def _bucket_shared(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The shared anchors of a bucket and their ids, in the order of ids."""
+    ids, counts, gs, sides = [], [], [], ([], [])
+    while blobs:
+        blob = blobs.pop()
+        d, n = np.frombuffer(blob, np.int64, 2).tolist()
+        ids.append(np.frombuffer(blob, np.int64, d, 16))
+        counts.append(np.frombuffer(blob, np.uint32, d, 16 + 8 * d))
+        at = 16 + 12 * d
+        gs.append(_long(blob[at : at + 5 * n]))
+        for k, side in enumerate(sides):
+            side.append(np.frombuffer(blob, np.uint8, n, at + (5 + k) * n))
+    g, who = np.concatenate(gs), np.repeat(np.concatenate(ids), np.concatenate(counts))
+    gs.clear()
+    keep = np.zeros(len(g), bool)
+    for side in sides:
+        tag = np.concatenate(side)
+        side.clear()
+        at = np.flatnonzero(tag > 0)
+        if len(at):
+            keep[at] |= _in_several(g[at] << np.uint64(8) | tag[at], who[at])
+    g, who = g[keep], who[keep]
+    order = np.argsort(who, kind="stable")
+    return g[order], who[order]
 
 
 def _send_surroundings(n_buckets: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        expand = zstandard.ZstdDecompressor()
-        for batch in chunks(batches, "z", 1 << 20):
-            batch = batch.filter(batch.column("shared").is_valid())
-            if not batch.num_rows:
-                continue
-            raws = [expand.decompress(z) for z in batch.column("z").to_pylist()]
-            raw, offsets = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
-            ids, hs = batch.column("id").to_numpy(), batch.column("h").to_numpy()
-            g, text, lo, hi = chunk_anchors(raw, offsets, length)
-            wanted = [np.unique(_long(b"".join(x))) for x in batch.column("shared").to_pylist()]
+        for raw, offsets, ids, hs, shared in _expanded(batches, "shared"):
+            g, _, _, text, lo, hi = chunk_anchors(raw, offsets, length)
+            wanted = [np.unique(_long(x)) for x in shared]
             n_wanted = np.array([len(x) for x in wanted])
             # one sorted list of (text, anchor) to look up in
             low = g & np.uint64((1 << _HASH_BITS) - 1)
@@ -293,37 +315,36 @@ def _send_surroundings(n_buckets: int, length: int):
                 size = hi[o] - lo[o] + length
                 body = raw[ragged(offsets[text[o]] + lo[o], size)].tobytes()
                 head = np.array([len(who), len(o)], np.int64).tobytes()
-                rows.append((b, head + ids[who].tobytes() + hs[who].tobytes() + g[o].tobytes() + lo[o].astype(np.int64).tobytes() + which.astype(np.uint32).tobytes() + size.astype(np.uint16).tobytes() + body))
+                rows.append((b, head + ids[who].tobytes() + hs[who].tobytes() + _short(g[o]) + lo[o].astype(np.uint32).tobytes() + which.astype(np.uint32).tobytes() + size.astype(np.uint8).tobytes() + body))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
     return run
 
 
-def _find_repeats(length: int):
+def _find_repeats(length: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                by_bucket.setdefault(b, []).append(blob)
-        while by_bucket:
-            yield from _bucket_repeats(by_bucket.popitem()[1], length)
+        for blobs in _by_key(batches):
+            yield from _bucket_repeats(blobs, length, parts)
 
     return run
 
 
-def _bucket_repeats(blobs: list[bytes], length: int) -> Iterator[pa.RecordBatch]:
+def _bucket_repeats(blobs: list[bytes], length: int, parts: int) -> Iterator[pa.RecordBatch]:
     ids, hs, gs, los, whos, sizes, bodies, n_docs = [], [], [], [], [], [], [], 0
-    for blob in blobs:
+    while blobs:
+        blob = blobs.pop()
         d, n = np.frombuffer(blob, np.int64, 2).tolist()
+        gs.append(_long(blob[16 + 16 * d : 16 + 16 * d + 5 * n]))
         at = 16
-        for out, kind, count in ((ids, np.int64, d), (hs, np.int64, d), (gs, np.uint64, n), (los, np.int64, n), (whos, np.uint32, n), (sizes, np.uint16, n)):
-            out.append(np.frombuffer(blob, kind, count, at))
+        for out, kind, count in ((ids, np.int64, d), (hs, np.int64, d), (None, np.uint8, 5 * n), (los, np.uint32, n), (whos, np.uint32, n), (sizes, np.uint8, n)):
+            if out is not None:
+                out.append(np.frombuffer(blob, kind, count, at))
             at += count * np.dtype(kind).itemsize
         whos[-1] = whos[-1].astype(np.int64) + n_docs
         n_docs += d
         bodies.append(blob[at:])
     ids, hs, g, lo, who, size = (np.concatenate(x) for x in (ids, hs, gs, los, whos, sizes))
-    size = size.astype(np.int64)
+    size, lo = size.astype(np.int64), lo.astype(np.int64)
     body = b"".join(bodies)
     bodies.clear()
     begin = np.cumsum(size) - size
@@ -370,11 +391,7 @@ def _bucket_repeats(blobs: list[bytes], length: int) -> Iterator[pa.RecordBatch]
     doc, start, end = doc[order], start[order], end[order]
     edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     pairs = np.stack([start, end], 1)
-    ends = [*edges[1:].tolist(), len(doc)]
-    for k in range(0, len(edges), 10_000):
-        part = edges[k : k + 10_000]
-        spans = [pairs[i:j].tobytes() for i, j in zip(part.tolist(), ends[k : k + 10_000], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids[doc[part]]), pa.array(hs[doc[part]]), pa.array(spans, pa.binary())], ["id", "h", "spans"])
+    yield by_part(ids[doc[edges]], hs[doc[edges]], 16 * np.diff(np.r_[edges, len(doc)]), pairs.tobytes(), parts)
 
 
 def span_hashes_in_parts(body: bytes, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -403,30 +420,41 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n_buckets = max(8, -(-total // BUCKET_BYTES))
+    n_buckets, n_places = (max(8, -(-total // b)) for b in (BUCKET_BYTES, PLACE_BYTES))
     parts = max(shuffle_parts(spark), n_buckets)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    # equal texts: by two hashes and the length
+    key = src.where(F.col("id").isNotNull() & (F.octet_length("text") >= length)).select("id", "h", F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").alias("n"))
+    firsts = stored(key.groupBy("h", "h2", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last"), "equal-texts")
+    copies = key.join(firsts, ["h", "h2", "n"]).where("id > first").groupBy("id").agg(F.collect_set("h").alias("copies"))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=1 << 20):
             z = pa.array([press.compress(t.encode()) for t in texts(batch.column("text"))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), z], ["id", "h", "z"])
 
-    squeezed = src.mapInArrow(squeeze, "id long, h long, z binary").repartition(parts, "id", "h")
-    sent = src.where(F.col("id").isNotNull() & (F.octet_length("text") >= length)).mapInArrow(_send_anchors(n_buckets, length), "bucket int, blob binary")
-    shared = sent.repartition(n_buckets, "bucket").mapInArrow(_shared_anchors, "id long, h long, shared binary").groupBy("id", "h").agg(F.collect_list("shared").alias("shared"))
-    # a left join, so that this exchange of the texts is the very one that the last join reads again
-    near = squeezed.join(shared.hint("shuffle_hash"), ["id", "h"], "left").select("id", "h", "z", "shared")
-    found = near.mapInArrow(_send_surroundings(n_buckets, length), "bucket int, blob binary").repartition(n_buckets, "bucket").mapInArrow(_find_repeats(length), "id long, h long, spans binary")
-    spans = found.groupBy("id", "h").agg(F.collect_list("spans").alias("spans"))
+    squeezed = src.mapInArrow(squeeze, "id long, h long, z binary").repartition(parts, "id")
+    # left joins, so that they all read one and the same exchange of the texts
+    marked = squeezed.join(copies.hint("shuffle_hash"), "id", "left").select("id", "h", "z", "copies")
+    sent = marked.mapInArrow(_send_anchors(n_buckets, length), "bucket int, blob binary")
+    shared = sent.repartition(n_buckets, "bucket").mapInArrow(_shared_anchors(parts), "part int, blob binary")
+    shared = shared.repartition(parts, "part").mapInArrow(from_parts, "id long, h long, data binary").select("id", F.col("data").alias("shared"))
+    near = marked.join(shared.hint("shuffle_hash"), "id", "left").select("id", "h", "z", "copies", "shared")
+    places = near.mapInArrow(_send_surroundings(n_places, length), "bucket int, blob binary").repartition(n_places, "bucket")
+    found = places.mapInArrow(_find_repeats(length, parts), "part int, blob binary")
+    found = found.repartition(parts, "part").mapInArrow(from_parts, "id long, h long, data binary")
+    spans = found.groupBy("id").agg(F.collect_list(F.struct("h", F.col("data").alias("spans"))).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in chunks(batches, "z", 1 << 20):
             kept, sizes, gone, runs = [], [], [], []
-            for z, found in zip(batch.column("z").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for z, h, of, ours in zip(*(batch.column(c).to_pylist() for c in ("z", "h", "copies", "spans")), strict=True):
                 raw = expand.decompress(z)
+                found = [x["spans"] for x in ours or () if x["h"] == h]
+                if of and h in of:
+                    found = [np.array([0, len(raw)]).tobytes()]
                 pairs = merge_spans(np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)).tolist() if found else []
                 at, out = 0, []
                 for a, b in pairs:
@@ -439,7 +467,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             counts = [len(r) // 2 for r in runs]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64()))], ["id", "kept", "n_bytes", "n_removed", "n_spans", "spans"])
 
-    all_rows = squeezed.join(spans.hint("shuffle_hash"), ["id", "h"], "left").select("id", "z", "spans")
+    all_rows = marked.join(spans.hint("shuffle_hash"), "id", "left").select("id", "h", "z", "copies", "spans")
     out = all_rows.mapInArrow(finish, "id long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<long>")
     return out.select(F.col("id").cast(kind).alias(id_col), "kept", "n_bytes", "n_removed", "n_spans", "spans")
 

@@ -25,7 +25,7 @@ from .common import chunks, texts
 #: The split pattern that the byte-level vocabulary is defined with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens whose counts a worker remembers; the cache is emptied beyond that.
-CACHE_SIZE = 400_000
+CACHE_SIZE = 200_000
 _NONE = np.int64(1) << 40
 
 
