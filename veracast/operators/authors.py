@@ -67,7 +67,7 @@ def interpost_gaps(posts: DataFrame) -> DataFrame:
 def timing(posts: DataFrame) -> DataFrame:
     """Mean, median, tenth percentile, deviation and variation of the gaps of authors who have any."""
     gap = F.col("interpost_sec")
-    out = interpost_gaps(posts).groupBy("author_hash").agg(F.avg(gap).alias("mean_interpost_sec"), F.percentile(gap, F.array(F.lit(0.5), F.lit(0.1))).alias("q"), F.stddev_samp(gap).alias("std_interpost_sec"))
+    out = interpost_gaps(posts).groupBy("author_hash").agg((F.sum(F.round(gap * 1e6).cast("long")) / F.count(gap) / 1e6).alias("mean_interpost_sec"), F.percentile(gap, F.array(F.lit(0.5), F.lit(0.1))).alias("q"), F.stddev_samp(gap).alias("std_interpost_sec"))
     cv = F.col("std_interpost_sec") / F.when(F.col("mean_interpost_sec") != 0, F.col("mean_interpost_sec"))
     return out.select("author_hash", "mean_interpost_sec", F.col("q")[0].alias("median_interpost_sec"), F.col("q")[1].alias("p10_interpost_sec"), "std_interpost_sec", cv.alias("interval_cv"))
 

@@ -118,8 +118,8 @@ def tables(config: dict[str, Any]) -> dict[str, str]:
         "hours": "SELECT author_hash, date_trunc('hour', date) AS hour, count(*) AS n FROM posts GROUP BY ALL",
         "max_hourly": "SELECT author_hash, max(n) AS max_posts_one_hour FROM hours GROUP BY author_hash",
         "gaps": "SELECT * FROM (SELECT author_hash, (epoch_us(date) - lag(epoch_us(date)) OVER (PARTITION BY author_hash ORDER BY date)) / 1e6 AS interpost_sec FROM posts) WHERE interpost_sec IS NOT NULL",
-        "timing": """SELECT author_hash, avg(interpost_sec) AS mean_interpost_sec, quantile_cont(interpost_sec, 0.5) AS median_interpost_sec, quantile_cont(interpost_sec, 0.1) AS p10_interpost_sec, stddev_samp(interpost_sec) AS std_interpost_sec,
-            stddev_samp(interpost_sec) / nullif(avg(interpost_sec), 0) AS interval_cv FROM gaps GROUP BY author_hash""",
+        "timing": """SELECT author_hash, CAST(sum(CAST(round(interpost_sec * 1e6) AS BIGINT)) AS DOUBLE) / count(*) / 1e6 AS mean_interpost_sec, quantile_cont(interpost_sec, 0.5) AS median_interpost_sec, quantile_cont(interpost_sec, 0.1) AS p10_interpost_sec, stddev_samp(interpost_sec) AS std_interpost_sec,
+            stddev_samp(interpost_sec) / nullif(CAST(sum(CAST(round(interpost_sec * 1e6) AS BIGINT)) AS DOUBLE) / count(*) / 1e6, 0) AS interval_cv FROM gaps GROUP BY author_hash""",
         "author_texts": "SELECT author_hash, text_hash, count(*) AS n FROM posts GROUP BY ALL",
         "repetition": "SELECT author_hash, coalesce(sum(n) FILTER (WHERE n > 1), 0) / sum(n) AS same_text_repeat_ratio, max(n) AS same_text_repeat_max FROM author_texts GROUP BY author_hash",
         "shared": "SELECT author_hash, coalesce(sum(n) FILTER (WHERE unique_author_count > 1), 0) / sum(n) AS multi_author_repeat_ratio FROM author_texts LEFT JOIN text_clusters USING (text_hash) GROUP BY author_hash",
