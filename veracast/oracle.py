@@ -6,7 +6,7 @@ from typing import Any
 
 from .operators.authors import QUANTILE_FEATURES
 from .operators.messages import COUNTS, FEATURES
-from .queries import CONFIG, DAY, FINAL_COLUMNS, MESSAGE_COLUMNS, SEMANTIC
+from .queries import CONFIG, DAY, FINAL_COLUMNS, MESSAGE_COLUMNS, QUANTILE, SEMANTIC
 from .schema import SCORE_BANDS, TWO_PART_SUFFIXES
 
 MESSAGES = """SELECT d.doc_id AS message_id,
@@ -91,6 +91,7 @@ def tables(config: dict[str, Any]) -> dict[str, str]:
     ok = rf"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(normalized_text, ''), '[@#]', '', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\p{{Nd}}+', ' ', 'g')) <> ''"
     score = f"CASE WHEN {ok} THEN CAST(CAST((message_id % 101) / 100.0 AS FLOAT) AS DOUBLE) ELSE 0.5 END" if semantic else "0.5"
     d = domain("url")
+    count = (lambda c: f"CASE WHEN s.normalized_text IS NULL THEN 0 ELSE coalesce({c}, 0) END") if config["runtime"]["null_text_mode"] == "ignore" else (lambda c: f"coalesce({c}, 0)")
     out = {
         "messages": MESSAGES,
         "cleaned": f"""SELECT message_id, {missing('original_text')} AS original_text, {normalized('original_text')} AS normalized_text, {keywords('english_keywords')} AS english_keywords_clean,
@@ -107,7 +108,7 @@ def tables(config: dict[str, Any]) -> dict[str, str]:
             QUALIFY row_number() OVER (PARTITION BY original_text, author_hash, date, url ORDER BY message_id) = 1""",
         "text_clusters": "SELECT text_hash, min(normalized_text) AS normalized_text, count(*) AS repeat_count, count(DISTINCT author_hash) AS unique_author_count FROM store GROUP BY text_hash",
         "windows": "SELECT text_hash, time_window_bucket, count(*) AS window_count FROM store WHERE time_window_bucket IS NOT NULL GROUP BY ALL",
-        "clustered0": """SELECT s.*, coalesce(c.repeat_count, 0) AS same_text_repeat_count, coalesce(c.unique_author_count, 0) AS same_text_unique_author_count, coalesce(w.window_count, 0) AS same_text_time_window_count
+        "clustered0": f"""SELECT s.*, {count('c.repeat_count')} AS same_text_repeat_count, {count('c.unique_author_count')} AS same_text_unique_author_count, {count('w.window_count')} AS same_text_time_window_count
             FROM store s LEFT JOIN text_clusters c USING (text_hash) LEFT JOIN windows w ON w.text_hash = s.text_hash AND w.time_window_bucket = s.time_window_bucket""",
         "clustered": f"""SELECT *, CAST(same_text_repeat_count >= {t['spam_repeat_threshold']} OR same_text_unique_author_count >= {t['spam_multi_author_threshold']} OR same_text_time_window_count >= {t['spam_time_cluster_threshold']} AS BIGINT) AS spam_pattern_flag,
             CAST(same_text_repeat_count >= {t['hard_bot_repeat_threshold']} AND same_text_unique_author_count >= {t['hard_bot_multi_author_threshold']} AND same_text_time_window_count >= {t['hard_bot_time_cluster_threshold']} AS BIGINT) AS hard_bot_cluster_flag FROM clustered0""",
@@ -142,6 +143,8 @@ def tables(config: dict[str, Any]) -> dict[str, str]:
     tops = ", ".join([f"(SELECT coalesce(max({c}), 1) FROM store) AS {c}_hi" for c in own] + ["(SELECT coalesce(max(repeat_count), 1) FROM text_clusters) AS same_text_repeat_count_hi", "(SELECT coalesce(max(unique_author_count), 1) FROM text_clusters) AS same_text_unique_author_count_hi", "(SELECT coalesce(max(window_count), 1) FROM windows) AS same_text_time_window_count_hi"])
     out["message_refs"] = f"SELECT {tops}, {', '.join(f'0.0 AS {c}_lo' for c in FEATURES)}, greatest((SELECT coalesce(max(text_length_chars), 1) FROM store) - {float(t['long_text_start'])}, 1.0) AS long_text_excess_max"
     out["message_refs_quantile"] = f"SELECT {ranges({c: (0.05, 0.99) for c in FEATURES})}, greatest(coalesce(max(text_length_chars - {float(t['long_text_start'])}), 1.0), 1.0) AS long_text_excess_max FROM clustered"
+    if config["runtime"]["refs_mode"] == "quantile":
+        out["message_refs"] = out.pop("message_refs_quantile")
     out["message_parts"] = f"""SELECT m.*, 0.45 * {up('same_text_repeat_count')} + 0.35 * {up('same_text_unique_author_count')} + 0.20 * {up('same_text_time_window_count')} AS same_text_repeat_component, CAST(spam_pattern_flag AS DOUBLE) AS spam_pattern_component,
         0.40 * {up('hashtag_count')} + 0.30 * {up('hashtag_density_chars')} + 0.30 * {up('hashtag_density_tokens')} AS hashtag_spam_component,
         0.35 * {up('max_token_frequency')} + 0.45 * {up('max_token_ratio')} + 0.20 * {up('repeated_token_count_over_2')} AS token_repetition_component,
@@ -201,11 +204,12 @@ _BANDS = ", ".join(f"({k}, '{name}')" for k, (_, name) in enumerate(SCORE_BANDS)
 _AUTHOR = f"author_hash, {r6('author_score')}, {big('max_posts_one_hour', 'language_nunique', 'total_posts')}"
 
 
-def _hist(column: str, bins: int) -> str:
-    ends = f"SELECT CASE WHEN min({column}) = max({column}) THEN min({column}) - 0.5 ELSE min({column}) END AS a, CASE WHEN min({column}) = max({column}) THEN max({column}) + 0.5 ELSE max({column}) END AS b FROM features"
+def _hist(column: str, bins: int, table: str = "features", config: dict[str, Any] = CONFIG) -> str:
+    ends = f"SELECT CASE WHEN min({column}) = max({column}) THEN min({column}) - 0.5 ELSE min({column}) END AS a, CASE WHEN min({column}) = max({column}) THEN max({column}) + 0.5 ELSE max({column}) END AS b FROM {table}"
     return sql(
-        f"SELECT bin, {r6(f'a + bin * (b - a) / {bins}', 'low')}, {r6(f'a + (bin + 1) * (b - a) / {bins}', 'high')}, count(*) AS n FROM (SELECT CAST(least(floor(({column} - a) / ((b - a) / {bins})), {bins - 1}) AS BIGINT) AS bin, a, b FROM features, ends) GROUP BY bin, a, b",
-        "features",
+        f"SELECT bin, {r6(f'a + bin * (b - a) / {bins}', 'low')}, {r6(f'a + (bin + 1) * (b - a) / {bins}', 'high')}, count(*) AS n FROM (SELECT CAST(least(floor(({column} - a) / ((b - a) / {bins})), {bins - 1}) AS BIGINT) AS bin, a, b FROM {table}, ends) GROUP BY bin, a, b",
+        table,
+        config,
         extra={"ends": ends},
     )
 
@@ -267,6 +271,8 @@ SQL: dict[str, str] = {
     "behavioral_scores": sql("SELECT message_id, author_type, " + ", ".join(r6(c) for c in ("author_score", "message_score", "behavioral_score")) + " FROM behavioral", "behavioral", SEMANTIC),
     "final_scores": sql("SELECT message_id, " + ", ".join(r6(c) for c in FINAL_COLUMNS[1:]) + " FROM scored", "scored"),
     "final_scores_semantic": sql("SELECT message_id, " + ", ".join(r6(c) for c in FINAL_COLUMNS[1:]) + " FROM scored", "scored", SEMANTIC),
+    "final_scores_quantile": sql("SELECT message_id, " + ", ".join(r6(c) for c in FINAL_COLUMNS[1:]) + " FROM scored", "scored", QUANTILE),
+    "final_score_histogram": _hist("final_score", 40, "scored", SEMANTIC),
     "semantic_neutral": sql("SELECT CAST(0.5 AS DOUBLE) AS roberta_score, CAST(0 AS BIGINT) AS semantic_model_applied_flag, count(*) AS rows FROM messages", "messages"),
     "semantic_summary": sql(f"SELECT count(*) AS rows, {r6('avg(roberta_score)', 'avg_roberta_score')}, {r6('min(roberta_score)', 'min_roberta_score')}, {r6('max(roberta_score)', 'max_roberta_score')}, CAST(sum(semantic_model_applied_flag) AS BIGINT) AS semantic_applied_rows FROM store", "store", SEMANTIC),
     "keyword_validation": sql(

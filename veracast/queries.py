@@ -26,6 +26,8 @@ CONFIG = make_config({"runtime": {"nfkc": False}})
 DAY = make_config({"runtime": {"nfkc": False}, "thresholds": {"hard_bot_time_window_sec": 86_400, "hard_hourly_bot_threshold": 5}})
 #: No floor, a made-up semantic score and supported languages, so that every weight shows.
 SEMANTIC = make_config({"runtime": {"nfkc": False}, "dominant_signal_policy": {"enabled": False}, "semantic_adapter": {"supported_languages": ["all"]}})
+#: Ranges from quantiles over all messages, and missing texts in no cluster.
+QUANTILE = make_config({"runtime": {"nfkc": False, "refs_mode": "quantile", "null_text_mode": "ignore"}, "dominant_signal_policy": {"enabled": False}})
 STUB = ExpressionScorer(lambda: F.pmod(F.col("message_id"), F.lit(101)) / 100.0)
 
 
@@ -313,6 +315,17 @@ def final_scores_semantic(spark, sf_dir):
     return _run(spark, sf_dir, SEMANTIC).scored.select(*FINAL_COLUMNS)
 
 
+@query
+def final_scores_quantile(spark, sf_dir):
+    """With ranges from quantiles, without the floor and without missing texts' cluster."""
+    return _run(spark, sf_dir, QUANTILE).scored.select(*FINAL_COLUMNS)
+
+
+@query
+def final_score_histogram(spark, sf_dir):
+    return reports.histogram(_run(spark, sf_dir, SEMANTIC).scored, "final_score", 40)
+
+
 @query
 def semantic_neutral(spark, sf_dir):
     df = NeutralScorer().apply(_messages(spark, sf_dir).select("message_id"), CONFIG)
