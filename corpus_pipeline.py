@@ -18,11 +18,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     found = langid.predict_languages(docs, langid.train(docs), keep=COLUMNS)
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return simhash.one_of_each(docs.select(*COLUMNS))
 
 
@@ -32,11 +34,13 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     found = pii.find_personal_data(docs, keep=COLUMNS, mask=True)
     return _counted(found.withColumn("text", F.col("masked_text")).select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from .operators.authors import QUANTILE_FEATURES
 from .operators.messages import COUNTS, FEATURES
 from .queries import CONFIG, DAY, FINAL_COLUMNS, MESSAGE_COLUMNS, QUANTILE, SEMANTIC
-from .schema import SCORE_BANDS, TWO_PART_SUFFIXES
+from .schema import EXPLANATION_COLUMNS, SCORE_BANDS, TWO_PART_SUFFIXES
 
 MESSAGES = """SELECT d.doc_id AS message_id,
   CASE WHEN d.doc_id % 13 = 0 THEN '  n/a ' WHEN d.doc_id % 7 = 0 THEN concat(d.text, ' #promo #deal') WHEN d.doc_id % 17 = 0 THEN 'Bot bot bot #promo !!!' ELSE d.text END AS original_text,
@@ -304,3 +305,19 @@ for _n, _name, _key in ((3, "coverage_share", "domain_coverage"), (128, "top128_
         f"SELECT count(*) AS unique_domains, {r6(f'(SELECT sum(n) FROM (SELECT count(*) AS n FROM store WHERE registered_domain IS NOT NULL GROUP BY registered_domain ORDER BY n DESC LIMIT {_n})) / sum(n)', _name)} FROM (SELECT registered_domain, count(*) AS n FROM store WHERE registered_domain IS NOT NULL GROUP BY 1)",
         "store",
     )
+
+
+def _single() -> str:
+    """New messages through the same steps, against the history's clusters, authors and ranges; an unknown author scores 0."""
+    steps = tables(CONFIG)
+    own = ["messages", "cleaned", "counted", "store", "clustered0", "clustered", "message_parts", "message_scores", "j0", "j1", "j2", "behavioral", "k0", "k1", "k2", "k3", "k4", "scored"]
+    new = {f"new_{n}": re.sub(rf"\bFROM ({'|'.join(own)})\b", r"FROM new_\1", steps[n]) for n in own}
+    row = "SELECT CAST({} AS BIGINT) AS message_id, {} AS original_text, {} AS english_keywords, CAST(NULL AS DOUBLE) AS sentiment, CAST(NULL AS VARCHAR) AS primary_theme, CAST(NULL AS VARCHAR) AS language, CAST(NULL AS VARCHAR) AS url, CAST({} AS VARCHAR) AS author_hash, CAST({} AS TIMESTAMP) AS date"
+    new["new_messages"] = " UNION ALL ".join(row.format(*r) for r in ((1, "'Bot bot bot #promo !!!'", "'bot, promo'", "'u_hot'", "'2024-01-01 00:00:00'"), (2, "'Quite a new text about nothing in particular'", "NULL", "NULL", "NULL"), (3, "'#a #b #c #d #e #f'", "'x'", "'nobody'", "NULL")))
+    new["new_j0"] = new["new_j0"].replace("m.*, a.author_score,", "m.*, coalesce(a.author_score, 0.0) AS author_score,").replace("coalesce(a.author_score, 0.5)", "coalesce(a.author_score, 0.0)")
+    flags = ("author_hard_hourly_flag", "hard_bot_cluster_flag", "hard_same_text_repeat_flag")
+    columns = [c for c in EXPLANATION_COLUMNS if c not in (*flags, "author_type")]
+    return sql("SELECT message_id, author_type, " + ", ".join(r6(c) for c in columns) + f", {big(*flags)} FROM new_scored", "message_refs", CONFIG, new)
+
+
+SQL["score_single"] = _single()
