@@ -14,21 +14,29 @@ from ..schema import MISSING, TWO_PART_SUFFIXES
 #: Letters, numbers and underscore; combining marks are not part of words.
 TOKEN = r"[\p{L}\p{N}_]+"
 HASHTAG = r"(?<![\p{L}\p{N}_])#[\p{L}\p{N}_]+"
-_BLANK = r"(?U)[\s\x1c-\x1f]"
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-_ACROSS = r"(?U)[\s\x1c-\x1f&&[^\n]]+"
+#: All white space: what the ends of a text are trimmed of.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_BLANK = "[" + WHITE + "]"
+# runs of blanks within a line that are not just one space; line ends with spaces beside them
+_ODD = WHITE.replace("\n", "").replace(" ", "")
+_ACROSS = f"[{_ODD}][{_ODD} ]*| [{_ODD} ]+"
+_LINE_ENDS = " +\n *|\n +"
 _AUTHORITY = r"^[^:/?#]+://(?:[^/?#]*@)?([^:/?#]*)"
 
 
 def strip(x: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(x, _EDGES, "")
+    return F.trim(x, F.lit(WHITE))
 
 
 def missing_to_null(x: Column) -> Column:
     """Trimmed; null for what stands for a missing value."""
-    t = strip(x.cast("string"))
-    return F.when(~F.lower(t).isin(*MISSING), t)
+    return present(strip(x.cast("string")))
+
+
+def present(t: Column) -> Column:
+    """A trimmed text, null where it stands for a missing value (none of which is longer than four characters)."""
+    return F.when((F.length(t) > 4) | ~F.lower(t).isin(*MISSING), t)
 
 
 def _nfkc(s: pd.Series) -> pd.Series:
@@ -40,12 +48,16 @@ def normalized(x: Column, nfkc: bool = True) -> Column:
 
     Only texts beyond ASCII go through Python: for others the compatibility form is the text itself.
     """
-    t = F.regexp_replace(missing_to_null(x), "\r\n?", "\n")
+    return F.nullif(spaced(missing_to_null(x), nfkc), F.lit(""))
+
+
+def spaced(t: Column, nfkc: bool = True) -> Column:
+    """``normalized`` for a text that is trimmed and not missing; empty when nothing is left."""
+    t = F.regexp_replace(t, "\r\n?", "\n")
     if nfkc:
         t = F.coalesce(F.pandas_udf(_nfkc, StringType())(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t)
     t = F.regexp_replace(t, _ACROSS, " ")
-    t = strip(F.regexp_replace(t, " *\n *", "\n"))
-    return F.when(t != "", t)
+    return strip(F.regexp_replace(t, _LINE_ENDS, "\n"))
 
 
 def keywords(x: Column) -> Column:
@@ -96,7 +108,7 @@ def semantic_input(x: Column) -> Column:
     """What a language model is given: no links, signs or digits, single spaces, lower case; empty for null."""
     t = F.regexp_replace(F.coalesce(x, F.lit("")), r"(?iU)http\S+|www\.\S+", " ")
     t = F.regexp_replace(t, "[@#]", "")
-    t = F.regexp_replace(t, r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]", " ")
+    t = F.regexp_replace(t, "[^\\p{L}\\p{N}_" + WHITE + "]", " ")
     t = F.regexp_replace(t, r"\p{Nd}+", " ")
     return F.lower(strip(F.regexp_replace(t, rf"{_BLANK}+", " ")))
 

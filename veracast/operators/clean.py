@@ -26,7 +26,7 @@ def clean_messages(raw: DataFrame, config: dict[str, Any], scorer: Scorer | None
     kinds = dict(df.dtypes)
     df = df.select(
         F.col("message_id").cast("long").alias("message_id"),
-        X.missing_to_null(F.col("original_text")).alias("original_text"),
+        X.strip(F.col("original_text").cast("string")).alias("_trimmed"),
         X.keywords(F.col("english_keywords")).alias("english_keywords_clean"),
         F.col("sentiment").try_cast("double").alias("sentiment"),
         *(X.missing_to_null(F.col(c)).alias(c) for c in ("main_emotion", "language", "url", "author_hash")),
@@ -34,7 +34,10 @@ def clean_messages(raw: DataFrame, config: dict[str, Any], scorer: Scorer | None
         X.to_instant(F.col("date"), kinds["date"]).alias("date"),
     )
     text = F.col("normalized_text")
-    df = df.withColumn("normalized_text", X.normalized(F.col("original_text"), runtime["nfkc"]))
+    # step by step, so that no long text is worked on twice
+    df = df.withColumn("original_text", X.present(F.col("_trimmed"))).drop("_trimmed")
+    df = df.withColumn("_spaced", X.spaced(F.col("original_text"), runtime["nfkc"]))
+    df = df.withColumn("normalized_text", F.when(F.col("_spaced") != "", F.col("_spaced"))).drop("_spaced")
     df = df.withColumns({"stats": X.text_statistics(text), "domain": X.domain_parts(F.col("url")), "text_length_chars": F.coalesce(F.length(text), F.lit(0))})
     size = F.col("text_length_chars")
     known = F.col("author_hash").isNotNull()

@@ -37,9 +37,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table read in fewer pieces than there are cores, dealt out by a key; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def table_rows_as_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages made of the driver's tables: one of each document, its author, time and link from the event and page of like number."""
     docs, events, pages = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "events", "pages"))
+    docs, events = spread(docs, "doc_id"), events.select("event_id", "user_id", "event_type", "ts", "value")
     i = F.col("doc_id")
     text = F.when(i % 13 == 0, "  n/a ").when(i % 7 == 0, F.concat("text", F.lit(" #promo #deal"))).when(i % 17 == 0, "Bot bot bot #promo !!!").otherwise(F.col("text"))
     words = F.when(i % 3 == 0, F.concat("source", F.lit(", "), "lang", F.lit(" ,, "), "source")).otherwise(F.col("source"))
