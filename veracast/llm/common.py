@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once by a Python worker; a single longer text is still taken whole.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 4 << 20
 #: Bytes of a batch between Spark and Python, which both hold at once.
 BATCH_BYTES = 4 << 20
 #: Bytes that a task writing a table holds before it lets them go.
