@@ -1,5 +1,6 @@
 """Operators against brute force, over awkward inputs: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import functools
 import hashlib
 import math
 import random
@@ -341,6 +342,36 @@ def test_language_model(spark):
     assert ppm.score_documents(documents(spark, []), kept=(50, 50, 50)).count() == 0
 
 
+def brute_scores(rows):
+    """Log10 probability of each text by all contexts of up to five bytes, one symbol at a time."""
+    followers, texts_ = {}, [b"\xff" * 5 + lower(t).encode() + b"\xff" for _, t in rows]
+    for (i, _), t in zip(rows, texts_, strict=True):
+        for k in range(5, len(t)) if i is None or zlib.crc32(str(i).encode()) % 7 != 2 else ():
+            for n in range(6):
+                followers.setdefault(t[k - n : k], Counter())[t[k]] += 1
+
+    def p(context, symbol, without=frozenset()):
+        """Among the symbols not in ``without``, which the longer context has seen."""
+        mine = {s: n for s, n in followers.get(context, {}).items() if s not in without}
+        kinds, total = len(mine), sum(mine.values())
+        if symbol in mine:
+            return mine[symbol] / (total + kinds)
+        shorter = p(context[1:], symbol, frozenset(followers.get(context, ())) or without) if context else 1 / (256 - len(followers[b""]))
+        return shorter * (kinds / (total + kinds) if kinds else 1)
+
+    cost = functools.cache(lambda context, symbol: math.log10(p(context, symbol)))
+    return [(i, round(sum(cost(t[k - 5 : k], t[k]) for k in range(5, len(t))), 3)) for (i, _), t in zip(rows, texts_, strict=True)]
+
+
+@pytest.mark.parametrize("kept", [(1, 1, 1), (9, 40, 12), ppm.KEPT])
+def test_language_model_uses_all_contexts(spark, kept):
+    rows = made_up(20, alphabet="abcd eé") + [(k, f"held {k} out ab cd") for k in range(100, 160)]
+    out = ppm.score_documents(documents(spark, rows), kept=kept).collect()
+    got, expected = (sorted(x, key=key) for x in ([(r.doc_id, r.score) for r in out], brute_scores(rows)))
+    assert [i for i, _ in got] == [i for i, _ in expected]
+    assert np.allclose([x for _, x in got], [x for _, x in expected], rtol=1e-5, atol=0.01)
+
+
 def test_trie_is_a_distribution(spark):
     rng = random.Random(17)
     docs = documents(spark, [(k, "".join(rng.choice("abc ") for _ in range(40))) for k in range(30)])

@@ -6,9 +6,11 @@ that the longer one has seen.  What a context followed by an escape leaves to it
 exclusion is worked out when the trie is built: each context kept has one row of complete log-probabilities, and a text is
 scored by a table look-up for each byte of context beyond the second, for a batch of texts at once.  A text ends with an end symbol.
 
-Counts of all six-byte strings of all training texts are gathered by an exchange.  The model that is broadcast has a size
-bound of its own, whatever the corpus: all contexts of up to two bytes and the ``kept`` commonest of each greater length; a context
-beyond them is scored by its longest kept suffix, which is again a proper distribution.
+Counts of all six-byte strings of all training texts are gathered by an exchange, and all of them make the score.  The trie that
+is broadcast has a size bound of its own, whatever the corpus: all contexts of up to two bytes and the ``kept`` commonest of each
+greater length.  It settles the places whose longest context it is sure to hold.  The others go to buckets by their last three
+bytes of context, where all longer contexts with those three meet: a bucket works out each distinct string from the counts
+themselves and sends back sums per document.  So ``kept`` says how much is sent, and nothing about the score.
 
 The base score is a unigram model over words.  Its counts cover the whole vocabulary, which grows with the corpus, so they
 are never broadcast: each chunk of texts sends, to each bucket of word hashes, its distinct words and who holds them how often, in
@@ -21,11 +23,12 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +38,10 @@ from .common import chunks, crc_of_id, shuffle_parts, span_hashes, stored, utf8
 END = 0xFF
 #: Bytes of the longest context; strings of one more byte are counted, which fit a 64-bit number up to seven.
 ORDER = 5
-#: Contexts kept of three, four, ... bytes.
+#: Contexts of three, four, ... bytes that are broadcast; the others are scored in buckets.
 KEPT = (24_576, 49_152, 49_152)
+#: Groups of strings by their last three bytes of context; a bucket is one or more of them.
+GROUPS = 1 << 12
 #: Training bytes for each bucket of word hashes, and for each task that merges counts.
 BUCKET_BYTES = 24 << 20
 
@@ -75,12 +80,28 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _mask(n: int) -> np.uint64:
+    """The last n bytes of a number."""
+    return np.uint64((1 << 8 * n) - 1)
+
+
+def _group(keys: np.ndarray) -> np.ndarray:
+    """The group of each string, the same for all that share their last three bytes of context."""
+    return ((keys >> np.uint64(8) & _mask(3)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % GROUPS
+
+
+def _find(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each number asked for stands in a sorted array, not empty, and whether it does."""
+    place = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return place, known[place] == asked
+
+
 def _is_training(ids: list, modulus: int, held_out: int) -> np.ndarray:
     return np.array([i is None or crc_of_id(i) % modulus != held_out for i in ids], bool)
 
 
-def context_counts(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
-    """(width, context, total, symbols, counts): followers of each context of two to ``ORDER`` bytes in the training texts."""
+def string_counts(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
+    """(part, keys, counts): each group's strings in the training texts, sorted, and how often they occur."""
     parts = shuffle_parts(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +118,8 @@ def context_counts(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
                     size = len(held[0][0]) // 2
         if held:
             keys, counts = merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            # all strings that share their last context of two bytes meet in one bucket, so longer contexts do as well
-            bucket = ((keys >> np.uint64(8) & np.uint64(0xFFFF)) * np.uint64(40503) & np.uint64(0xFFFF)) % np.uint64(parts)
+            # all strings that share their last context of three bytes meet in one bucket, so longer contexts do as well
+            bucket = _group(keys) % parts
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(parts + 1))
             rows = [(b, keys[o].tobytes(), counts[o].astype(np.int64).tobytes()) for b in range(parts) if len(o := order[edges[b] : edges[b + 1]])]
@@ -113,27 +134,102 @@ def context_counts(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
         if not keys:
             return
         key, n = merged(np.concatenate(keys), np.concatenate(counts))
-        for width in range(ORDER, 1, -1):
-            key, n = merged(key & np.uint64((1 << 8 * (width + 1)) - 1), n)
-            context, symbol = key >> np.uint64(8), (key & np.uint64(255)).astype(np.uint8)
-            first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-            last = np.r_[first[1:], len(key)].tolist()
-            rows = [(symbol[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(first.tolist(), last, strict=True)]
-            for k in range(0, len(first), 10_000):
-                part = rows[k : k + 10_000]
-                f = first[k : k + 10_000]
-                total = np.add.reduceat(n, first)[k : k + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), width, np.int32)), pa.array(context[f].astype(np.int64)), pa.array(total), pa.array([r[0] for r in part], pa.binary()), pa.array([r[1] for r in part], pa.binary())], ["width", "context", "total", "symbols", "counts"])
+        part = _group(key)
+        order = np.argsort(part, kind="stable")
+        key, n, part = key[order], n[order], part[order]
+        edges = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), len(part)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 1].astype(np.int32)), pa.array([key[a:b].tobytes()], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())], ["part", "keys", "counts"])
 
     found = docs.mapInArrow(count, "bucket int, keys binary, counts binary").repartition(parts, "bucket")
-    return found.mapInArrow(gather, "width int, context long, total long, symbols binary, counts binary")
+    return found.mapInArrow(gather, "part int, keys binary, counts binary")
+
+
+def context_counts(found: DataFrame) -> DataFrame:
+    """(width, context, total, symbols, counts): followers of each context of three to ``ORDER`` bytes; of width 2 a row for
+    each string of three bytes in each group, its ``total`` yet to be added up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                key, n = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
+                for width in range(ORDER, 2, -1):
+                    key, n = merged(key & _mask(width + 1), n)
+                    context, symbol = key >> np.uint64(8), (key & np.uint64(255)).astype(np.uint8)
+                    first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+                    last = np.r_[first[1:], len(key)].tolist()
+                    rows = [(symbol[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(first.tolist(), last, strict=True)]
+                    total = np.add.reduceat(n, first)
+                    for at in range(0, len(first), 10_000):
+                        part, f = rows[at : at + 10_000], first[at : at + 10_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), width, np.int32)), pa.array(context[f].astype(np.int64)), pa.array(total[at : at + 10_000]), pa.array([r[0] for r in part], pa.binary()), pa.array([r[1] for r in part], pa.binary())], names)
+                key, n = merged(key & _mask(3), n)
+                none = pa.nulls(len(key), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), 2, np.int32)), pa.array(key.astype(np.int64)), pa.array(n), none, none], names)
+
+    names = ["width", "context", "total", "symbols", "counts"]
+    return found.select("keys", "counts").mapInArrow(run, "width int, context long, total long, symbols binary, counts binary")
+
+
+class Floor:
+    """What contexts of up to two bytes say, which all buckets need, and the exact score of strings beyond the trie."""
+
+    def __init__(self, trie: Trie, counts: np.ndarray, below: np.ndarray) -> None:
+        self.index, self.width, self.two, self.base = trie.index, trie.width, trie.two, trie.base[2]
+        self.log = trie.log[: trie.base[3] * trie.width]
+        self.counts, self.below = counts, below
+        self.total, self.kinds = counts.sum(1, dtype=np.float64), (counts > 0).sum(1)
+
+    def _rows(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row of the longest context of up to two bytes, and the symbol's column, of each string."""
+        symbol, near, far = (self.index[(keys >> np.uint64(8 * k) & np.uint64(255)).astype(np.int64)].astype(np.int64) for k in range(3))
+        return self.two[far * self.width + near].astype(np.int64), symbol
+
+    def score(self, keys: np.ndarray, n: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Log10 probability of each string asked for, where ``keys`` has all strings counted in their groups."""
+        row, symbol = self._rows(asked)
+        out = self.log[row * self.width + symbol].astype(np.float64)
+        if not len(keys):
+            return out
+        at = np.maximum(row - self.base, 0)
+        shorter, left = self.counts[at, symbol].astype(np.float64), self.below[at, symbol].astype(np.float64)
+        levels, of = {}, {}
+        for width in range(ORDER, 2, -1):
+            levels[width] = keys, n = merged(keys & _mask(width + 1), n)
+        for width in range(3, ORDER + 1):
+            key, n = levels[width]
+            context = key >> np.uint64(8)
+            first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+            context, total, kinds = context[first], np.add.reduceat(n, first), np.diff(np.r_[first, len(key)])
+            if width == 3:
+                row, symbol = self._rows(key)
+                seen, suffix = self.counts[row - self.base, symbol].astype(np.float64), row[first] - self.base
+                last_total, last_kinds = self.total, self.kinds
+            else:
+                seen = levels[width - 1][1][_find(levels[width - 1][0], key & _mask(width))[0]]
+                known, last_total, last_kinds = of[width - 1]
+                suffix = _find(known, context & _mask(width - 1))[0]
+            of[width] = context, total, kinds
+            d = last_kinds[suffix] - kinds
+            room = np.maximum(last_total[suffix] - np.add.reduceat(seen, first) + d, 1)
+            beyond = np.where(d > 0, d / room, 1.0)
+            q = asked & _mask(width + 1)
+            c, ok = _find(context, q >> np.uint64(8))
+            place, has = _find(key, q)
+            mine = np.where(has, n[place], 0)
+            left = np.where(shorter > 0, shorter / room[c], beyond[c] * left)
+            p = np.where(has, mine, kinds[c] * left) / (total[c] + kinds[c])
+            out[ok] = np.log10(np.maximum(p[ok], 1e-30))
+            shorter = mine.astype(np.float64)
+        return out
 
 
 class Trie:
     """Rows of complete log-probabilities for each kept context, and the tables that find a place's row."""
 
-    def __init__(self, rows: dict[int, pa.Table]) -> None:
-        dense = {w: self._dense(rows[w]) for w in range(2, ORDER + 1)}
+    def __init__(self, rows: dict[int, pa.Table], sizes: dict[int, int]) -> None:
+        """``rows``: of width 2 all strings of three bytes; of others the contexts kept, of ``sizes`` that there are."""
+        dense = {w: self._dense(rows[w]) if w > 2 else self._pairs(rows[w]) for w in range(2, ORDER + 1)}
         # contexts of one and no byte follow from those of two, all of which are here
         two = dense[2]
         ones = np.unique(two[0] & 255)
@@ -179,11 +275,25 @@ class Trie:
                     below[s] = left
             self.base.append(at)
             at += len(contexts)
+            if order == 2:
+                two_counts, two_below = counts, below
             tables.append(log)
             states.append(contexts)
             low, last_counts = below, counts
         self.log = np.concatenate(tables).ravel()
         self._link(states)
+        # where all contexts one byte longer are here, a place without one has none, nor any longer still
+        whole = [order == ORDER or order < 2 or len(states[order + 1]) == sizes.get(order + 1, 0) for order in range(ORDER + 1)]
+        self.sure = np.repeat(whole, [len(x) for x in states])
+        self.floor: Floor | None = Floor(self, two_counts, two_below)
+
+    @staticmethod
+    def _pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        key, n = table.column("context").to_numpy(), table.column("total").to_numpy()
+        contexts, row = np.unique(key >> 8, return_inverse=True)
+        out = np.zeros((len(contexts), 256), np.float32)
+        out[row, key & 255] = n
+        return contexts, out
 
     @staticmethod
     def _dense(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -208,6 +318,7 @@ class Trie:
         two = np.tile(one, (w, 1))
         a, b = split(states[2], 2)
         two[b, a] = self.base[2] + np.arange(len(states[2]))
+        self.two = two.ravel()
         three = np.tile(two, (w, 1, 1))
         a, b, c = split(states[3], 3)
         three[c, b, a] = self.base[3] + np.arange(len(states[3]))
@@ -220,11 +331,12 @@ class Trie:
                 table[place, ix[longer >> 8 * (order - 1) & 255]] = self.base[order] + np.arange(len(longer))
             self.deeper.append(table.ravel())
 
-    def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text, its end included."""
+    def score(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log10 probability of each text, its end included, over the places that the trie settles; the strings at the others, and
+        the text of each."""
         n = len(offsets) - 1
         if not n:
-            return np.zeros(0)
+            return np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         symbols, ask, first = stream(raw, offsets)
         s, w = self.index[symbols], np.int32(self.width)
         row = self.three[(s[ask - 3] * w + s[ask - 2]) * w + s[ask - 1]]
@@ -234,25 +346,36 @@ class Trie:
                 found = table[(row[deep] - np.int32(self.base[order - 1])) * w + s[ask[deep] - order]]
                 row[deep] = found
                 deep = deep[found >= self.base[order]]
-        return np.add.reduceat(self.log[row.astype(np.int64) * w + s[ask]].astype(np.float64), first)
+        log = self.log[row.astype(np.int64) * w + s[ask]].astype(np.float64)
+        open_ = np.flatnonzero(~self.sure[row])
+        log[open_] = 0.0
+        return np.add.reduceat(log, first), strings(symbols, ask[open_]), np.searchsorted(first, open_, side="right") - 1
 
 
 def train(docs: DataFrame, modulus: int = 7, held_out: int = 2, kept: tuple[int, ...] = KEPT, id_col: str = "doc_id", text_col: str = "text") -> tuple[Trie, int]:
     """The trie and the number of symbols that it was counted on."""
+    return _train(docs, modulus, held_out, kept, id_col, text_col)[:2]
+
+
+def _train(docs: DataFrame, modulus: int, held_out: int, kept: tuple[int, ...], id_col: str, text_col: str) -> tuple[Trie, int, DataFrame]:
+    """The trie, the number of symbols, and all strings counted."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = stored(context_counts(src, modulus, held_out), "contexts")
+    found = stored(string_counts(src, modulus, held_out), "strings")
+    counts = stored(context_counts(found), "contexts")
 
     def top(width: int, n: int) -> pa.Table:
         return counts.where(F.col("width") == width).orderBy(F.desc("total"), "context").limit(n).select("context", "symbols", "counts").toArrow()
 
-    total = counts.where("width = 2").agg(F.sum("total")).first()[0] or 0
-    return Trie({2: top(2, 1 << 16)} | {w: top(w, kept[w - 3]) for w in range(3, ORDER + 1)}), total
+    pairs = counts.where("width = 2").groupBy("context").agg(F.sum("total").alias("total")).toArrow()
+    sizes = {r[0]: r[1] for r in counts.where("width > 2").groupBy("width").count().collect()}
+    total = sum(pairs.column("total").to_pylist())
+    return Trie({2: pairs} | {w: top(w, kept[w - 3]) for w in range(3, ORDER + 1)}, sizes), total, found
 
 
 _OUT = "row_key long, id {kind}, held_out boolean, n_tokens long, score double, bucket int, blob binary"
 
 
-def _word_blobs(hashes: np.ndarray, owner: np.ndarray, n_docs: int, n_train: int, first_key: int, n_buckets: int) -> list[tuple[int, bytes]]:
+def _word_blobs(hashes: np.ndarray, owner: np.ndarray, n_docs: int, n_train: int, first_key: int, n_buckets: int, bucket_of: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> list[tuple[int, bytes]]:
     """For each bucket of word hashes, the chunk's words there, and for each the documents that hold it and how often."""
     words, which = np.unique(hashes, return_inverse=True)
     pair, times = np.unique(which.astype(np.int64) * n_docs + owner, return_counts=True)
@@ -263,7 +386,8 @@ def _word_blobs(hashes: np.ndarray, owner: np.ndarray, n_docs: int, n_train: int
     size[np.cumsum(extra + 1) - 1] = times - 255 * extra
     word, doc = pair // n_docs, (pair % n_docs).astype(np.uint16)
     holders = np.bincount(word, minlength=len(words))
-    bucket = (words % np.uint64(n_buckets)).astype(np.int64)
+    at = bucket_of(words)
+    bucket = (at % at.dtype.type(n_buckets)).astype(np.int64)
     order = np.argsort(bucket[word], kind="stable")
     word_order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[word][order], np.arange(n_buckets + 1))
@@ -273,14 +397,15 @@ def _word_blobs(hashes: np.ndarray, owner: np.ndarray, n_docs: int, n_train: int
         o, v = order[edges[b] : edges[b + 1]], word_order[word_edges[b] : word_edges[b + 1]]
         if len(v):
             head = np.array([first_key, n_train, len(v), len(o)], np.int64)
-            out.append((b, b"".join((head.tobytes(), words[v].tobytes(), holders[v].astype(np.uint32).tobytes(), doc[o].tobytes(), size[o].tobytes()))))
+            out.append((b, b"".join((head.tobytes(), words[v].view(np.uint8).reshape(-1, 8).T.tobytes(), holders[v].astype(np.uint32).tobytes(), doc[o].tobytes(), size[o].tobytes()))))
     return out
 
 
 def _read_blob(blob: bytes) -> tuple:
     first_key, n_train, n_words, n_pairs = np.frombuffer(blob, np.int64, 4).tolist()
     at = 32
-    words = np.frombuffer(blob, np.uint64, n_words, at)
+    # first bytes of all words, second bytes, ...: sorted strings compress far better so
+    words = np.frombuffer(blob, np.uint8, 8 * n_words, at).reshape(8, n_words).T.copy().view(np.uint64).ravel()
     at += 8 * n_words
     holders = np.frombuffer(blob, np.uint32, n_words, at)
     at += 4 * n_words
@@ -316,27 +441,58 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.bincount(doc, np.where(c[mine] > 0, size, 0))
         rows.append((first_key, s.tobytes(), known.astype(np.int64).tobytes()))
     rows.append((-1, np.array([(c > 0).sum()], np.float64).tobytes(), np.array([c.sum()], np.int64).tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], ["first_key", "s", "known"])
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2)), pa.nulls(len(rows), pa.binary())], ["first_key", "s", "known", "deep"])
+
+
+def _deep_sums(floor: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each chunk, its documents' sums of log10 probabilities over the strings sent; rows with ``counts`` are a group's own strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, blobs = [], [], []
+        for batch in batches:
+            for blob, c in zip(batch.column("blob").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if c is None:
+                    blobs.append(blob)
+                else:
+                    keys.append(np.frombuffer(blob, np.uint64))
+                    counts.append(np.frombuffer(c, np.int64))
+        if not blobs:
+            return
+        asked = [_read_blob(blob)[2] for blob in blobs]
+        sizes = [len(x) for x in asked]
+        asked, which = np.unique(np.concatenate(asked), return_inverse=True)
+        worth = floor.value.score(np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *counts]), asked)
+        rows, at = [], 0
+        for blob, n in zip(blobs, sizes, strict=True):
+            first_key, _, _, holders, doc, size = _read_blob(blob)
+            rows.append((first_key, np.bincount(doc, np.repeat(worth[which[at : at + n]], holders) * size).tobytes()))
+            at += n
+        none = pa.nulls(len(rows), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), none, none, pa.array([r[1] for r in rows], pa.binary())], ["first_key", "s", "known", "deep"])
+
+    return run
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The buckets' sums of each chunk added, a row for each of its documents; key -1 as it is."""
     found: dict[int, list[np.ndarray]] = {}
     for batch in batches:
-        for key, *blobs in zip(*(batch.column(c).to_pylist() for c in ("first_key", "s", "known")), strict=True):
-            for k, (blob, kind) in enumerate(zip(blobs, (np.float64, np.int64), strict=True)):
-                part, have = np.frombuffer(blob, kind), found.setdefault(key, [np.zeros(0), np.zeros(0, np.int64)])
+        for key, *blobs in zip(*(batch.column(c).to_pylist() for c in ("first_key", "s", "known", "deep")), strict=True):
+            for k, (blob, kind) in enumerate(zip(blobs, (np.float64, np.int64, np.float64), strict=True)):
+                part, have = np.frombuffer(blob or b"", kind), found.setdefault(key, [np.zeros(0), np.zeros(0, np.int64), np.zeros(0)])
                 if len(part) > len(have[k]):
                     have[k] = np.r_[have[k], np.zeros(len(part) - len(have[k]), kind)]
                 have[k][: len(part)] += part
-    for key, (s, known) in found.items():
-        yield pa.RecordBatch.from_arrays([pa.array(key + np.arange(len(s))), pa.array(s), pa.array(known)], ["row_key", "s", "known"])
+    for key, (s, known, deep) in found.items():
+        deep = np.r_[deep, np.zeros(len(s) - len(deep))]
+        yield pa.RecordBatch.from_arrays([pa.array(key + np.arange(len(s))), pa.array(s), pa.array(known), pa.array(deep)], ["row_key", "s", "known", "deep"])
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, kept: tuple[int, ...] = KEPT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of each row."""
     spark = docs.sparkSession
-    trie, total = train(docs, modulus, held_out, kept, id_col, text_col)
+    trie, total, found = _train(docs, modulus, held_out, kept, id_col, text_col)
+    floor, trie.floor = spark.sparkContext.broadcast(trie.floor), None
     shared = spark.sparkContext.broadcast(trie)
     n_buckets = max(8, -(-total // BUCKET_BYTES))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -351,7 +507,13 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, kept:
                 train_row = _is_training(batch.column("id").to_pylist(), modulus, held_out)
                 batch = batch.take(pa.array(np.argsort(~train_row, kind="stable")))  # training rows first
                 n, n_train = batch.num_rows, int(train_row.sum())
-                score = np.concatenate([shared.value.score(*utf8(part.column("text"))) for part in chunks([batch], limit=1 << 20)])
+                score, asked, asker, done = [], [], [], 0
+                for part in chunks([batch], limit=1 << 20):
+                    for into, x in zip((score, asked, asker), shared.value.score(*utf8(part.column("text"))), strict=True):
+                        into.append(x)
+                    asker[-1] += done
+                    done += part.num_rows
+                score, asked, asker = (np.concatenate(x) for x in (score, asked, asker))
                 raw, offsets = utf8(batch.column("text"))
                 hashes, owner = _words(raw, offsets)
                 tokens = np.bincount(owner, minlength=n) + 1
@@ -359,22 +521,29 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, kept:
                 none = pa.nulls(n)
                 yield pa.RecordBatch.from_arrays([pa.array(key + np.arange(n)), batch.column("id"), pa.array(np.arange(n) >= n_train), pa.array(tokens), pa.array(score), none.cast(pa.int32()), none.cast(pa.binary())], names)
                 blobs = _word_blobs(hashes, owner, n, n_train, key, n_buckets)
+                blobs += [(n_buckets + b, blob) for b, blob in _word_blobs(asked, asker, n, n_train, key, n_buckets, _group)]
                 none, m = pa.nulls(len(blobs)), len(blobs)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(m, key)), none.cast(batch.schema.field("id").type), none.cast(pa.bool_()), none.cast(pa.int64()), none.cast(pa.float64()), pa.array([b for b, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names)
                 key += n
 
     names = ["row_key", "id", "held_out", "n_tokens", "score", "bucket", "blob"]
     both = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _OUT.format(kind=kind)), "word-blobs")
-    words = both.where("bucket is not null").select("bucket", "blob").repartition(n_buckets, "bucket")
+    sent = both.where("bucket is not null").select("bucket", "blob")
+    sums_kind = "first_key long, s binary, known binary, deep binary"
+    words = sent.where(F.col("bucket") < n_buckets).repartition(n_buckets, "bucket").mapInArrow(_sums, sums_kind)
+    asked = sent.where(F.col("bucket") >= n_buckets).select((F.col("bucket") - n_buckets).alias("bucket"), "blob", F.lit(None).cast("binary").alias("counts"))
+    known = found.select((F.col("part") % n_buckets).alias("bucket"), F.col("keys").alias("blob"), "counts")
+    deep = asked.unionAll(known).repartition(n_buckets, "bucket").mapInArrow(_deep_sums(floor), sums_kind)
     shared.unpersist()
-    sums = words.mapInArrow(_sums, "first_key long, s binary, known binary").repartition(shuffle_parts(spark), "first_key")
-    sums = stored(sums.mapInArrow(_add_up, "row_key long, s double, known long"), "word-sums")
+    sums = words.unionAll(deep).repartition(shuffle_parts(spark), "first_key")
+    sums = stored(sums.mapInArrow(_add_up, "row_key long, s double, known long, deep double"), "word-sums")
+    floor.unpersist()
     n_types, n_words = sums.where("row_key = -1").agg(F.sum("s"), F.sum("known")).first()
     n_types, n_words = n_types or 0.0, n_words or 0
-    of = sums.where("row_key >= 0").select("row_key", "s", F.col("known").alias("n_known"))
+    of = sums.where("row_key >= 0").select("row_key", "s", F.col("known").alias("n_known"), "deep")
     rows = both.where("bucket is null").drop("bucket", "blob").join(of, "row_key")
     base = F.col("s") - F.col("n_tokens") * float(np.log10(n_words + n_types + 1.0))
-    return rows.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_words).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return rows.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_words).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.col("deep")).alias("score"))
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
