@@ -1,7 +1,7 @@
 """A corpus through five operators: language, near-duplicates, benchmark leaks, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; every stage but the last returns the columns of
-documents.  Text that no language can be told from goes; one document of each near-duplicate component stays; documents
+documents.  Text that no language can be told from goes (if no row has a language to learn from, text without a letter); one document of each near-duplicate component stays; documents
 with a twentieth of their words in benchmark passages go, and from others such passages are cut; personal data become their
 kind in brackets; what is left is packed.  Texts that a stage shortens get a new n_chars.  Extra columns are dropped.
 """
@@ -19,7 +19,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
-    found = langid.predict_languages(docs, langid.train(docs), keep=COLUMNS)
+    model = langid.train(docs)
+    if not model.languages:
+        return langid.with_letters(docs.select(*COLUMNS))
+    found = langid.predict_languages(docs, model, keep=COLUMNS)
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 

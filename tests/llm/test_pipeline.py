@@ -5,6 +5,16 @@ from test_operators import KIND, brute_contamination, brute_fingerprint
 
 from veracast.llm import pii
 
+ROWS = [(1, "Some words"), (2, "12 34"), (3, None), (4, ""), (5, "\u00e9 7"), (None, "more"), (6, "\u6587")]
+
+
+def test_unlabelled_texts_stay(spark):
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in ROWS], KIND)
+    out = P.language(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(r.text for r in out.collect()) == ["Some words", "more", "\u00e9 7", "\u6587"]
+    assert P.language(spark, docs.limit(0), "").count() == 0
+
 
 def test_run(spark, tmp_path):
     leak = " ".join(f"leak{k}" for k in range(15))

@@ -87,6 +87,16 @@ class Model:
         return [self.languages[k] if ok else UNKNOWN for k, ok in zip(best.tolist(), has.tolist(), strict=True)], np.where(has, top, 0.0)
 
 
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a letter; a scan without any shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, text_col):
+            yield batch.filter(pa.array([any(map(str.isalpha, t)) for t in texts(batch.column(text_col))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(docs: DataFrame, per_language: int = 2500, modulus: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fits on at most about ``per_language`` rows of each language outside the held-out remainder."""
     rows = docs.where((remainder_col(id_col, modulus) != held_out) & F.col(lang_col).isNotNull())
