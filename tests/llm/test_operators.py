@@ -90,6 +90,20 @@ def test_decontaminated_text(spark):
     assert decontam.decontaminate(docs, bench).columns == docs.columns
 
 
+def test_passages_of_items_without_an_id(spark, tmp_path):
+    passage, named = (" ".join(f"{w}{k}" for k in range(13)) for w in ("leak", "named"))
+    long = " ".join(f"fine{k}" for k in range(900))
+    bench = spark.createDataFrame([(None, passage), (None, passage), (5, named), (None, None)], "item_id long, text string")
+    docs = documents(spark, [(1, passage), (2, f"{long} {passage}, after"), (3, f"{passage} {named}"), (4, long)])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in queries.op1_decontaminate(spark, str(tmp_path)).collect()}
+    assert out == {1: (13, 13, 0, True), 2: (914, 13, 0, False), 3: (26, 26, 1, True), 4: (900, 0, 0, False)}
+    found = decontam.find_contamination(docs, bench, block_bytes=60, nameless=True)
+    assert {r.doc_id: r.item_ids for r in found.collect()} == {1: [], 2: [], 3: ["5"], 4: []}
+    assert {r.doc_id: r.text for r in decontam.decontaminate(docs, bench).collect()} == {2: f"{long} , after", 4: long}
+
+
 def test_packing(spark):
     path = queries.vocabulary("word_bpe_49k.json")
     from tokenizers import Tokenizer

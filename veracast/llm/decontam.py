@@ -10,7 +10,7 @@ The benchmark is the query set: it is taken in blocks of bounded size, each broa
 blocks' spans are merged without any shuffle of documents.
 
 Defined results: a null or empty text has no words and no hits; a null or wordless item has no window; items without an id
-are left out; repeated item ids count once; repeated documents each get a row; with an empty benchmark nothing is hit; other
+are left out, or with ``nameless`` searched like any other and only missing from ``item_ids``; repeated item ids count once; repeated documents each get a row; with an empty benchmark nothing is hit; other
 columns of either input are ignored.
 """
 
@@ -58,7 +58,7 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Windows:
     """The distinct windows of a block of items over the block's own vocabulary."""
 
-    def __init__(self, item_ids: list[str], item_texts: list[str], size: int) -> None:
+    def __init__(self, item_ids: list[str | None], item_texts: list[str], size: int) -> None:
         raw, offsets = utf8(pa.array(item_texts, pa.large_string()))
         low, start, end, bounds = words_of(raw, offsets)
         h = span_hashes(low, start, end)
@@ -247,8 +247,8 @@ def _union(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, block_bytes: int) -> Iterator[Windows]:
-    items = benchmark.where(F.col(id_col).isNotNull() & (F.octet_length(text_col) > 0)).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, block_bytes: int, nameless: bool) -> Iterator[Windows]:
+    items = benchmark.where((F.lit(nameless) | F.col(id_col).isNotNull()) & (F.octet_length(text_col) > 0)).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):
@@ -259,16 +259,16 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, block_b
 _SCHEMA = "id {kind}, text string, row {row}, n_words long, words array<long>, bytes array<long>, item_ids array<string>"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = (), nameless: bool = False) -> DataFrame:
     """One row for each document: ``id_col``, text, n_words, words and bytes (merged spans of hit words, flat: start, end, ...;
     in words and in UTF-8 bytes), item_ids (distinct, as strings) whose windows occur.
 
-    ``keep`` names columns to carry along, as the fields of a struct ``row``.  A window is ``window`` consecutive words of an item, or all words of a shorter one.
+    ``keep`` names columns to carry along, as the fields of a struct ``row``.  ``nameless``: items without an id are searched too.  A window is ``window`` consecutive words of an item, or all words of a shorter one.
     """
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*keep).alias("row") if keep else F.lit(None).cast("int").alias("row"), F.lit(0).cast("long").alias("n_words"), F.expr("array() :: array<long>").alias("words"), F.expr("array() :: array<long>").alias("bytes"), F.expr("array() :: array<string>").alias("item_ids"))
     kind, row = (out.schema[c].dataType.simpleString() for c in ("id", "row"))
     spark = docs.sparkSession
-    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes, nameless)
     for windows in [next(blocks, Windows([], [], window)), *blocks]:
         out = out.mapInArrow(_stage(spark.sparkContext.broadcast(windows)), _SCHEMA.format(kind=kind, row=row))
     return (out if keep else out.drop("row")).withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
@@ -293,7 +293,8 @@ def _stage(shared):
                     words[k] += [a - int(bounds[k]), b + 1 - int(bounds[k])]
                     cuts[k] += [int(start[a] - offsets[k]), int(end[b] - offsets[k])]
                 for k, item in pairs.tolist():
-                    items[k].append(windows.names[item])
+                    if windows.names[item] is not None:
+                        items[k].append(windows.names[item])
             had = [batch.column(c).to_pylist() for c in ("words", "bytes", "item_ids")]
             words = [_union(a, b) for a, b in zip(words, had[0], strict=True)]
             cuts = [_union(a, b) for a, b in zip(cuts, had[1], strict=True)]
@@ -321,7 +322,7 @@ def without_spans(text: str, flat: list[int]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, most: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the benchmark: documents of whose words at least the share ``most`` is hit go, from others the merged spans are cut."""
-    found = find_contamination(docs, benchmark, window, id_col, text_col, keep=tuple(docs.columns)).withColumn("n_hit", hit_words())
+    found = find_contamination(docs, benchmark, window, id_col, text_col, keep=tuple(docs.columns), nameless=True).withColumn("n_hit", hit_words())
     clean = found.where((F.col("n_hit") == 0) | (F.col("n_hit") < most * F.col("n_words"))).select("row", F.col(text_col).alias("text"), "bytes")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

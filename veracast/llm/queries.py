@@ -20,7 +20,7 @@ def vocabulary(name: str) -> str:
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import find_contamination, hit_words
 
-    found = find_contamination(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark")).withColumn("n_hit", hit_words())
+    found = find_contamination(read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark"), nameless=True).withColumn("n_hit", hit_words())
     return found.select(
         "doc_id",
         "n_words",
