@@ -7,27 +7,33 @@ in tokens, and dynamic programming picks boundaries and kinds together.  So a te
 which no single pattern takes apart, are both found.  The field is trained by gradient ascent on its likelihood over sentences
 made from templates with a fixed seed.
 
+Long texts: whatever a stretch's length, the sweep over it holds the last few tokens and what is not settled yet; time is linear.
+
 Defined results: a null or empty text has no span; repeated rows each get a row; an empty table gives an empty result; other columns
 are ignored.  Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
+from array import array
+from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, texts
+from .common import chunks, lean, texts
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of the longest entity.
-LONGEST = 22
+#: Tokens and characters of the longest entity.
+LONGEST, LONGEST_CHARS = 22, 128
+#: Tokens after which a sweep looks for what is settled; forms of spans whose weights are remembered.
+SETTLE, FORMS = 4096, 20_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -83,52 +89,118 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _NUMBERS = re.compile(r"[(+]{0,2}[0-9](?:[ ().+-]{0,3}[0-9]){6,}")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|[\[({] ?at ?[\])}]) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]{1,63}){1,6}", re.IGNORECASE)
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^\w]|\w", re.ASCII)
+_LETTER = re.compile(r"[A-Za-z]")
+_AT = re.compile(r"@|[\[({] ?at ?[\])}]", re.IGNORECASE)
+_OCTETS, _FOUR = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"), re.compile(r"9+(?:\.9+){3}")
+_LOCAL_NUMBER = re.compile(r"\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-][0-9]{4}")
+_NINES = str.maketrans("012345678", "9" * 9)
 _CUES = ((re.compile(r"(?:tel|phone|fax|call|mobile|cell)\W*$", re.I), "said-phone"), (re.compile(r"(?:card|visa|credit)\W*$", re.I), "said-card"), (re.compile(r"(?:mail|contact|write to)\W*$", re.I), "said-email"), (re.compile(r"(?:\bip|host|server|address)\W*$", re.I), "said-ip"))
 
 
-@lru_cache(maxsize=100_000)
-def span_features(span: str) -> tuple[str, ...]:
-    """What a candidate looks like as a whole."""
-    digits = _NOT_DIGIT.sub("", span)
-    n = len(digits)
-    shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]+", "9", span))
-    runs = "-".join(str(min(len(r), 20)) for r in re.findall(r"[0-9]+", span)[:8])
+def form_features(form: str) -> tuple[str, ...]:
+    """What a candidate looks like as a whole, whatever its digits (each a 9 in ``form``)."""
+    n = form.count("9")
+    shape = re.sub(r"[A-Za-z]+", "a", re.sub(r"9+", "9", form))
     out = ["digits" + str(min(n, 20)), "shape" + shape[:24]]
     if "a" not in shape:
-        out.append("runs" + runs)
+        out.append("runs" + "-".join(str(min(len(r), 20)) for r in re.findall(r"9+", form)[:8]))
         if 12 <= n <= 19:
-            out.append("check" if luhn(digits) else "no-check")
-            kinds = {re.sub(r"[0-9]", "", s) for s in re.findall(r"[^0-9]+", span)}
+            kinds = set(re.findall(r"[^9]+", form))
             out.append("card-shape" if kinds <= {" "} or kinds <= {"-"} else "mixed-shape")
-        if 9 <= n <= 15 and span[0] == "+":
+        if 9 <= n <= 15 and form[0] == "+":
             out.append("plus-number")
-        if n == 10 and re.fullmatch(r"\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-][0-9]{4}", span):
-            out.append("local-number")
-        if octets(span):
-            out.append("octets")
-    elif _SPELLED.fullmatch(span):
+    elif _SPELLED.fullmatch(form):
         out.append("spelled-address")
-        out.append("known-end" if re.search(r"(?:com|org|net|edu|info|io|de|fr|es|uk)$", span, re.I) else "other-end")
-    if span[0] == " " or span[-1] in " (.-+" or span.count("(") != span.count(")"):
+        out.append("known-end" if re.search(r"(?:com|org|net|edu|info|io|de|fr|es|uk)$", form, re.I) else "other-end")
+    if form[0] == " " or form[-1] in " (.-+" or form.count("(") != form.count(")"):
         out.append("ragged")
     return tuple(out)
 
 
-def context_features(text: str, start: int, end: int) -> list[str]:
-    """What stands beside a candidate, in the text itself."""
-    out = []
-    if start and (text[start - 1].isalnum() or text[start - 1] in "_+@"):
-        out.append("glued-left")
-    if end < len(text) and (text[end].isalnum() or text[end] in "_@"):
-        out.append("glued-right")
-    before = text[max(0, start - 16) : start]
-    out += [name for cue, name in _CUES if cue.search(before)]
+def digit_features(span: str, form: str) -> list[str]:
+    """What a candidate's digits say."""
+    out, n = [], form.count("9")
+    if 12 <= n <= 19 and not _LETTER.search(form):
+        out.append("check" if luhn(_NOT_DIGIT.sub("", span)) else "no-check")
+    elif n == 10 and _LOCAL_NUMBER.fullmatch(span):
+        out.append("local-number")
+    if _FOUR.fullmatch(form) and octets(span):
+        out.append("octets")
     return out
 
 
-def tokens(text: str, start: int, end: int) -> list[int]:
+def left_features(text: str, start: int) -> list[str]:
+    """What stands before a candidate, in the text itself."""
+    out = ["glued-left"] if start and (text[start - 1].isalnum() or text[start - 1] in "_+@") else []
+    before = text[max(0, start - 16) : start]
+    return out + [name for cue, name in _CUES if cue.search(before)]
+
+
+def right_features(text: str, end: int) -> list[str]:
+    return ["glued-right"] if end < len(text) and (text[end].isalnum() or text[end] in "_@") else []
+
+
+def tokens(text: str, start: int, end: int) -> Iterator[int]:
     """Token boundaries of a stretch, both ends included."""
-    return [*(m.start() for m in _TOKEN.finditer(text, start, end)), end]
+    for m in _TOKEN.finditer(text, start, end):
+        yield m.start()
+    yield end
+
+
+class Recent:
+    """The last ``LONGEST`` + 1 token boundaries of a stretch, with the digits and letters before each."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.cuts: deque[int] = deque(maxlen=LONGEST + 1)
+        self.digits: deque[int] = deque(maxlen=LONGEST + 1)
+        self.letters: deque[int] = deque(maxlen=LONGEST + 1)
+
+    def add(self, cut: int) -> None:
+        digits = letters = 0
+        if self.cuts:
+            last = self.cuts[-1]
+            head = self.text[last]
+            digits, letters = self.digits[-1], self.letters[-1]
+            if "0" <= head <= "9":
+                digits += cut - last
+            elif head.isascii() and head.isalpha():
+                letters += 1
+        self.cuts.append(cut)
+        self.digits.append(digits)
+        self.letters.append(letters)
+
+    def candidates(self) -> list[int]:
+        """How many tokens back the spans begin that end at the last boundary and may be entities: numbers of seven to nineteen
+        digits, four octets, and what holds letters and an at sign, none longer than ``LONGEST_CHARS``."""
+        text, cuts, out = self.text, self.cuts, []
+        last = len(cuts) - 1
+        if not last or not text[cuts[last] - 1].isalnum():
+            return out
+        end, digits, letters = cuts[last], self.digits[last], self.letters[last]
+        for back in range(1, last + 1):
+            k = last - back
+            start = cuts[k]
+            if end - start > LONGEST_CHARS:
+                break
+            n = digits - self.digits[k]
+            words = letters - self.letters[k]
+            if n > 19 and not words:
+                break
+            head = text[start]
+            if not (head.isalnum() or head in "+("):
+                continue
+            if words:
+                if back > 2 and _AT.search(text, start, end):
+                    out.append(back)
+            elif 7 <= n <= 19 or back == 7 and 4 <= n and _OCTETS.fullmatch(text, start, end):
+                out.append(back)
+        return out
+
+
+def outside(head: str) -> str:
+    """The feature of a token outside entities, by its first character."""
+    return "one-digits" if head.isdigit() else "one-letters" if head.isalpha() else "one-" + head
 
 
 class Field:
@@ -138,25 +210,28 @@ class Field:
         self.number: dict[str, int] = {}
         self.weights = np.zeros((0, len(KINDS) + 1))
         self.steps = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
+        self.cache: dict = {}
+        self.forms: dict[str, list[float]] = {}
 
     def ids(self, names: list[str], grow: bool) -> list[int]:
         if grow:
             return [self.number.setdefault(x, len(self.number)) for x in names]
         return [self.number[x] for x in names if x in self.number]
 
-    def candidates(self, text: str, cuts: list[int], grow: bool = False) -> list[tuple[int, int, list[int]]]:
-        """(first token, token after, features) of every span that an entity may be, and of single tokens outside."""
-        out, n = [], len(cuts) - 1
-        for a in range(n):
-            head = text[cuts[a]]
-            out.append((a, a + 1, self.ids(["one", "one-digits" if head.isdigit() else "one-letters" if head.isalpha() else "one-" + head], grow)))
-            if not (head.isalnum() or head in "+("):
-                continue
-            for b in range(a + 1, min(a + LONGEST, n) + 1):
-                tail = text[cuts[b] - 1]
-                if tail.isalnum() and (b - a > 1 or cuts[b] - cuts[a] >= 7):
-                    out.append((a, b, self.ids(["span", *span_features(text[cuts[a] : cuts[b]]), *context_features(text, cuts[a], cuts[b])], grow)))
-        return out
+    def candidates(self, text: str, grow: bool = False) -> tuple[list[int], list[tuple[int, int, list[int]]]]:
+        """Token boundaries of a (short) text, and (first token, token after, features) of all spans that an entity may be and of
+        single tokens outside."""
+        cuts, out, recent = list(tokens(text, 0, len(text))), [], Recent(text)
+        for b, cut in enumerate(cuts):
+            recent.add(cut)
+            if b:
+                out.append((b - 1, b, self.ids(["one", outside(text[cuts[b - 1]])], grow)))
+            for back in recent.candidates():
+                span = text[cuts[b - back] : cut]
+                form = span.translate(_NINES)
+                names = ["span", *form_features(form), *digit_features(span, form), *left_features(text, cuts[b - back]), *right_features(text, cut)]
+                out.append((b - back, b, self.ids(names, grow)))
+        return cuts, sorted(out, key=lambda x: x[:2])
 
     def scores(self, spans: list[tuple[int, int, list[int]]]) -> np.ndarray:
         s = np.array([self.weights[f].sum(0) for _, _, f in spans])
@@ -167,29 +242,102 @@ class Field:
                 s[k, 1:] = -np.inf
         return s
 
+    def weight(self, names: tuple[str, ...]) -> list[float]:
+        """The summed weights of some features, one number a label."""
+        return self.weights[self.ids(list(names), False)].sum(0).tolist()
+
     def best(self, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
-        """(start, end, kind number) of the entities of the best segmentation of a stretch."""
-        cuts = tokens(text, start, end)
-        n, labels = len(cuts) - 1, len(KINDS) + 1
-        spans = self.candidates(text, cuts)
-        score = self.scores(spans)
-        value = np.full((n + 1, labels), -np.inf)
-        value[0, 0] = 0
-        back: dict[tuple[int, int], tuple[int, int]] = {}
-        for (a, b, _), s in sorted(zip(spans, score, strict=True), key=lambda x: x[0][:2]):
-            through = value[a][:, None] + self.steps
-            came = through.argmax(0)
-            total = through.max(0) + s
-            for y in np.flatnonzero(total > value[b]).tolist():
-                value[b, y] = total[y]
-                back[b, y] = (a, int(came[y]))
-        out, at, y = [], n, int(value[n].argmax())
-        while at:
-            a, before = back[at, y]
-            if y:
-                out.append((cuts[a], cuts[at], y - 1))
-            at, y = a, before
-        return out[::-1]
+        """(start, end, kind number) of the entities of the best segmentation of a stretch.
+
+        One sweep over the boundaries keeps the values of the last ``LONGEST`` only.  Each boundary and label has one byte
+        that tells where it came from; once the paths back from all that is still open meet, what lies before is settled.
+        """
+        steps = self.steps.tolist()
+        labels = range(1, len(KINDS) + 1)
+        low = -math.inf
+        recent = Recent(text)
+        enter: deque[list[float]] = deque(maxlen=LONGEST + 1)
+        left: deque[tuple | None] = deque(maxlen=LONGEST + 1)
+        out: list[tuple[int, int, int]] = []
+        cuts, came, base = array("q"), bytearray(), 0
+        width = len(KINDS) + 1
+        values: deque[list[float]] = deque(maxlen=LONGEST + 1)
+
+        def back(b: int, y: int) -> tuple[int, int]:
+            code = came[(b - base) * width + y]
+            return b - code // width - 1, code % width
+
+        def settle(b: int, y: int) -> None:
+            """Entities on the path from ``base`` to a boundary and label."""
+            found = []
+            while b > base:
+                a, before = back(b, y)
+                if y:
+                    found.append((cuts[a - base], cuts[b - base], y - 1))
+                b, y = a, before
+            out.extend(reversed(found))
+
+        b = -1
+        for b, cut in enumerate(tokens(text, start, end)):
+            recent.add(cut)
+            cuts.append(cut)
+            value, code = [low] * width, [0] * width
+            if not b:
+                value[0] = 0.0
+            else:
+                value[0], code[0] = enter[-1][0][0] + self._one(outside(text[recent.cuts[-2]])), enter[-1][1][0]
+                spans = recent.candidates()
+                right = self._some(tuple(right_features(text, cut))) if spans else None
+                for n in spans:
+                    if left[-n] is None:
+                        left[-n] = self._some(tuple(left_features(text, recent.cuts[-n - 1])))
+                    score, before, far = self._span(text[recent.cuts[-n - 1] : cut]), left[-n], enter[-n]
+                    for y in labels:
+                        total = far[0][y] + score[y] + before[y] + right[y]
+                        if total > value[y]:
+                            value[y], code[y] = total, (n - 1) * width + far[1][y]
+            came.extend(code)
+            values.append(value)
+            live = [y for y in range(width) if value[y] > low]
+            reach = [max((value[x] + steps[x][y], -x) for x in live) for y in range(width)] if live else [(low, 0)] * width
+            enter.append(([r[0] for r in reach], [-r[1] for r in reach]))
+            left.append(None)
+            if b - base >= SETTLE:
+                open_ = {(b - k, y) for k, v in enumerate(reversed(values)) for y in range(width) if v[y] > low}
+                while len(open_) > 1 and (last := max(open_))[0] > base:
+                    open_.remove(last)
+                    open_.add(back(*last))
+                at, y = max(open_)
+                if len(open_) == 1 and at > base:
+                    settle(at, y)
+                    del cuts[: at - base], came[: (at - base) * width]
+                    base = at
+                    # what came to the new base is settled: its own label alone is open there, as every open path has it
+        if b >= 0:
+            settle(b, max(range(width), key=lambda y: values[-1][y]))
+        return out
+
+    def _one(self, kind: str) -> float:
+        if kind not in self.cache:
+            self.cache[kind] = self.weight(("one", kind))[0]
+        return self.cache[kind]
+
+    def _some(self, names: tuple[str, ...]) -> list[float]:
+        if names not in self.cache:
+            self.cache[names] = self.weight(names)
+        return self.cache[names]
+
+    def _span(self, span: str) -> list[float]:
+        """Summed weights of a candidate by itself; those of its form are remembered."""
+        form = span.translate(_NINES)
+        score = self.forms.get(form)
+        if score is None:
+            if len(self.forms) >= FORMS:
+                self.forms.clear()
+            score = self.forms[form] = self.weight(("span", *form_features(form)))
+        if names := digit_features(span, form):
+            score = [x + w for x, w in zip(score, self._some(tuple(names)), strict=True)]
+        return score
 
     def _gradient(self, spans, score: np.ndarray, gold: dict[tuple[int, int], int], n: int, g_w: np.ndarray, g_s: np.ndarray) -> None:
         """Adds what the likelihood gains by each weight: the true segmentation's counts less the expected ones."""
@@ -224,12 +372,12 @@ class Field:
         """Gradient ascent with per-weight step sizes over (text, entities)."""
         data = []
         for text, entities in sentences:
-            cuts = tokens(text, 0, len(text))
+            cuts, spans = self.candidates(text, grow=True)
             at = {c: k for k, c in enumerate(cuts)}
             gold = {(at[s], at[e]): kind + 1 for s, e, kind in entities}
             covered = {t for a, b in gold for t in range(a, b)}
             gold |= {(t, t + 1): 0 for t in range(len(cuts) - 1) if t not in covered}
-            data.append((self.candidates(text, cuts, grow=True), gold, len(cuts) - 1))
+            data.append((spans, gold, len(cuts) - 1))
         self.weights = np.zeros((len(self.number), len(KINDS) + 1))
         seen_w, seen_s = np.full_like(self.weights, 1e-6), np.full_like(self.steps, 1e-6)
         for _ in range(rounds):
@@ -374,4 +522,4 @@ def find_personal_data(docs: DataFrame, field: Field | None = None, id_col: str
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     schema += ", n_email long, n_ip long, n_card long, n_phone long, base string, spans string" + ", masked_text string" * mask
-    return docs.select(*dict.fromkeys((*columns, text_col))).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys((*columns, text_col))).mapInArrow(lean(run), schema)
