@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,13 +14,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once by a Python worker; a single longer text is still taken whole.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes of a batch between Spark and Python, which both hold at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Bytes that a task writing a table holds before it lets them go.
 ROW_GROUP_BYTES = 16 << 20
 
 
+#: What empties each cache that this process has filled.
+CACHES: list[Callable[[], None]] = []
+
+
+def let_go() -> None:
+    """Empties the caches and gives free memory back, so that the next task in this process starts without what this one held."""
+    for clear in CACHES:
+        clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # another C library than glibc, which has no such call
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, holding nothing once its task has ended."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            let_go()
+
+    return task
+
+
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``limit`` bytes, so that a worker's memory is bounded."""
     for batch in batches:
@@ -96,6 +124,7 @@ def shuffle_parts(spark: SparkSession) -> int:
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
+CACHES.append(_POWERS.clear)
 
 
 def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:

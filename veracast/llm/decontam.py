@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ragged, runs, span_hashes, utf8
+from .common import chunks, lean, ragged, runs, span_hashes, utf8
 
 #: Bytes of benchmark text searched for at once; what is broadcast is at most about 25 times that.
 BLOCK_BYTES = 2 << 20
@@ -270,7 +270,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     spark = docs.sparkSession
     blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes, nameless)
     for windows in [next(blocks, Windows([], [], window)), *blocks]:
-        out = out.mapInArrow(_stage(spark.sparkContext.broadcast(windows)), _SCHEMA.format(kind=kind, row=row))
+        out = out.mapInArrow(lean(_stage(spark.sparkContext.broadcast(windows))), _SCHEMA.format(kind=kind, row=row))
     return (out if keep else out.drop("row")).withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
 
 
@@ -330,5 +330,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, most:
             kept = [t if t is None or not flat else without_spans(t, flat) for t, flat in zip(batch.column("text").to_pylist(), batch.column("bytes").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "text"])
 
-    out = clean.mapInArrow(cut, f"row {clean.schema['row'].dataType.simpleString()}, text string")
+    out = clean.mapInArrow(lean(cut), f"row {clean.schema['row'].dataType.simpleString()}, text string")
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

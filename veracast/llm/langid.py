@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, remainder_col, texts
+from .common import chunks, lean, remainder_col, texts
 
 BUCKET_BITS = 15
 ORDERS = 3
@@ -94,7 +94,7 @@ def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in chunks(batches, text_col):
             yield batch.filter(pa.array([any(map(str.isalpha, t)) for t in texts(batch.column(text_col))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def train(docs: DataFrame, per_language: int = 2500, modulus: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -118,7 +118,7 @@ def train(docs: DataFrame, per_language: int = 2500, modulus: int = 4, held_out:
         at, bucket = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bucket), pa.array(counts[at, bucket])], ["lang", "bucket", "n"])
 
-    found = sample.select("lang", "text").mapInArrow(run, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = sample.select("lang", "text").mapInArrow(lean(run), "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((1 << BUCKET_BITS, len(languages)))
     counts[found.column("bucket").to_numpy(), found.column("lang").to_numpy()] = found.column("n").to_numpy()
     return Model(languages, counts, np.array([sizes[lang] for lang in languages], float))
@@ -137,4 +137,4 @@ def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
     columns = list(dict.fromkeys((id_col, *keep)))
     src = docs.select(*dict.fromkeys((*columns, text_col)))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return src.mapInArrow(run, f"{schema}, lang_pred string, lang_score double")
+    return src.mapInArrow(lean(run), f"{schema}, lang_pred string, lang_score double")

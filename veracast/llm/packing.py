@@ -28,9 +28,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, ragged, span_hashes, texts
+from .common import CACHES, chunks, lean, ragged, span_hashes, texts
 
-CACHE_SIZE = 300_000
+#: Bytes of pre-tokens and their ids that a task remembers, with what Python needs beside them; beyond that the cache is emptied.
+CACHE_BYTES, ENTRY_BYTES = 40 << 20, 150
 #: Open remainders that a sequence is filled from.
 WINDOW = 256
 
@@ -60,6 +61,7 @@ class WordEncoder:
         self.far = regex.compile("[^\x00-\u024f]")
         self.kinds = _classes()
         self.known: dict[bytes, bytes] = {}
+        self.size = 0
 
     def split(self, raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pre-tokens of lower-cased UTF-8 below U+0250; ``first``: where texts start."""
@@ -129,10 +131,12 @@ class WordEncoder:
             return out
         _, at, which = np.unique(span_hashes(raw, start, end), return_index=True, return_inverse=True)
         words = [data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-        if len(self.known) > CACHE_SIZE:
+        if self.size > CACHE_BYTES:
             self.known.clear()
+            self.size = 0
         if fresh := [w for w in words if w not in self.known]:
             self.learn(fresh)
+            self.size += sum(len(w) + len(self.known[w]) + ENTRY_BYTES for w in fresh)
         ids = [self.known[w] for w in words]
         sizes = np.array([len(i) for i in ids], np.int64) // 4
         table = np.frombuffer(b"".join(ids), "<u4")
@@ -145,6 +149,7 @@ class WordEncoder:
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+CACHES.append(_ENCODERS.clear)
 
 
 def encoder(path: str) -> WordEncoder:
@@ -274,5 +279,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity:
             yield out()
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = src.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = src.mapInArrow(lean(run), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

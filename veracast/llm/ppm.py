@@ -32,7 +32,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_of_id, shuffle_parts, span_hashes, stored, utf8
+from .common import chunks, crc_of_id, lean, shuffle_parts, span_hashes, stored, utf8
 
 #: Stands before and after each text; the byte occurs in no UTF-8.
 END = 0xFF
@@ -141,8 +141,8 @@ def string_counts(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
         for a, b in zip(edges, edges[1:], strict=False):
             yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 1].astype(np.int32)), pa.array([key[a:b].tobytes()], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())], ["part", "keys", "counts"])
 
-    found = docs.mapInArrow(count, "bucket int, keys binary, counts binary").repartition(parts, "bucket")
-    return found.mapInArrow(gather, "part int, keys binary, counts binary")
+    found = docs.mapInArrow(lean(count), "bucket int, keys binary, counts binary").repartition(parts, "bucket")
+    return found.mapInArrow(lean(gather), "part int, keys binary, counts binary")
 
 
 def context_counts(found: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def context_counts(found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), 2, np.int32)), pa.array(key.astype(np.int64)), pa.array(n), none, none], names)
 
     names = ["width", "context", "total", "symbols", "counts"]
-    return found.select("keys", "counts").mapInArrow(run, "width int, context long, total long, symbols binary, counts binary")
+    return found.select("keys", "counts").mapInArrow(lean(run), "width int, context long, total long, symbols binary, counts binary")
 
 
 class Floor:
@@ -527,16 +527,16 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, kept:
                 key += n
 
     names = ["row_key", "id", "held_out", "n_tokens", "score", "bucket", "blob"]
-    both = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _OUT.format(kind=kind)), "word-blobs")
+    both = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), _OUT.format(kind=kind)), "word-blobs")
     sent = both.where("bucket is not null").select("bucket", "blob")
     sums_kind = "first_key long, s binary, known binary, deep binary"
-    words = sent.where(F.col("bucket") < n_buckets).repartition(n_buckets, "bucket").mapInArrow(_sums, sums_kind)
+    words = sent.where(F.col("bucket") < n_buckets).repartition(n_buckets, "bucket").mapInArrow(lean(_sums), sums_kind)
     asked = sent.where(F.col("bucket") >= n_buckets).select((F.col("bucket") - n_buckets).alias("bucket"), "blob", F.lit(None).cast("binary").alias("counts"))
     known = found.select((F.col("part") % n_buckets).alias("bucket"), F.col("keys").alias("blob"), "counts")
-    deep = asked.unionAll(known).repartition(n_buckets, "bucket").mapInArrow(_deep_sums(floor), sums_kind)
+    deep = asked.unionAll(known).repartition(n_buckets, "bucket").mapInArrow(lean(_deep_sums(floor)), sums_kind)
     shared.unpersist()
     sums = words.unionAll(deep).repartition(shuffle_parts(spark), "first_key")
-    sums = stored(sums.mapInArrow(_add_up, "row_key long, s double, known long, deep double"), "word-sums")
+    sums = stored(sums.mapInArrow(lean(_add_up), "row_key long, s double, known long, deep double"), "word-sums")
     floor.unpersist()
     n_types, n_words = sums.where("row_key = -1").agg(F.sum("s"), F.sum("known")).first()
     n_types, n_words = n_types or 0.0, n_words or 0

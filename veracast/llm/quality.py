@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, remainder_col, span_hashes, utf8
+from .common import chunks, lean, remainder_col, span_hashes, utf8
 
 FEATURES = ("log_bytes", "word_length", "upper", "digit", "punctuation", "symbol", "exclamation", "bar", "full_stop", "newline", "space", "beyond_ascii", "distinct_words", "top_word", "word_repeats", "distinct_lines", "longest_word", "same_byte", "ends_in_symbol")
 BINS, COARSE = 32, 8
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, modulus: i
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["label", "x"])
 
     # the sample's size is bounded above, so its ids may be broadcast
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("label", "text").mapInArrow(run, "label int, x array<double>").toArrow()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("label", "text").mapInArrow(lean(run), "label int, x array<double>").toArrow()
     x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)) if rows.num_rows else np.zeros((0, len(FEATURES)))
     y = rows.column("label").to_numpy().astype(np.float64) if rows.num_rows else np.zeros(0)
     order = np.lexsort((*x.T, y))  # the order in which rows arrive must not matter
@@ -221,4 +221,4 @@ def score_quality(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id",
         for batch in chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(shared.value.score(features(*utf8(batch.column("text")))))], ["id", "score"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, score double").withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, shuffle_parts, stored, utf8
+from .common import chunks, lean, shuffle_parts, stored, utf8
 from .components import connected_components
 
 #: Buckets up to this size are compared pair by pair, larger ones by pivots.
@@ -84,7 +84,7 @@ def fingerprint_documents(docs: DataFrame, shingle: int = 4, id_col: str = "doc_
         for batch in chunks(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fingerprints(*utf8(batch.column("text")), shingle).view(np.int64))], ["id", "fingerprint"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fingerprint long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, fingerprint long").withColumnRenamed("id", id_col)
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -184,7 +184,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
             for k in range(0, len(a), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(a[k : k + (1 << 18)].view(np.int64)), pa.array(b[k : k + (1 << 18)].view(np.int64))], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def _with_bit(key: np.ndarray, bit: np.ndarray) -> np.ndarray:

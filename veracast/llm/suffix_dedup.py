@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_part, chunks, from_parts, ragged, shuffle_parts, span_hashes, stored, texts
+from .common import by_part, chunks, from_parts, lean, ragged, shuffle_parts, span_hashes, stored, texts
 
 LENGTH, ANCHOR, SIDE = 50, 25, 13
 #: Text bytes for each bucket of anchors, and of surroundings; bytes of a text handled at once; bytes of surroundings sorted together.
@@ -434,16 +434,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             z = pa.array([press.compress(t.encode()) for t in texts(batch.column("text"))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("h"), z], ["id", "h", "z"])
 
-    squeezed = src.mapInArrow(squeeze, "id long, h long, z binary").repartition(parts, "id")
+    squeezed = src.mapInArrow(lean(squeeze), "id long, h long, z binary").repartition(parts, "id")
     # left joins, so that they all read one and the same exchange of the texts
     marked = squeezed.join(copies.hint("shuffle_hash"), "id", "left").select("id", "h", "z", "copies")
-    sent = marked.mapInArrow(_send_anchors(n_buckets, length), "bucket int, blob binary")
-    shared = sent.repartition(n_buckets, "bucket").mapInArrow(_shared_anchors(parts), "part int, blob binary")
-    shared = shared.repartition(parts, "part").mapInArrow(from_parts, "id long, h long, data binary").select("id", F.col("data").alias("shared"))
+    sent = marked.mapInArrow(lean(_send_anchors(n_buckets, length)), "bucket int, blob binary")
+    shared = sent.repartition(n_buckets, "bucket").mapInArrow(lean(_shared_anchors(parts)), "part int, blob binary")
+    shared = shared.repartition(parts, "part").mapInArrow(lean(from_parts), "id long, h long, data binary").select("id", F.col("data").alias("shared"))
     near = marked.join(shared.hint("shuffle_hash"), "id", "left").select("id", "h", "z", "copies", "shared")
-    places = near.mapInArrow(_send_surroundings(n_places, length), "bucket int, blob binary").repartition(n_places, "bucket")
-    found = places.mapInArrow(_find_repeats(length, parts), "part int, blob binary")
-    found = found.repartition(parts, "part").mapInArrow(from_parts, "id long, h long, data binary")
+    places = near.mapInArrow(lean(_send_surroundings(n_places, length)), "bucket int, blob binary").repartition(n_places, "bucket")
+    found = places.mapInArrow(lean(_find_repeats(length, parts)), "part int, blob binary")
+    found = found.repartition(parts, "part").mapInArrow(lean(from_parts), "id long, h long, data binary")
     spans = found.groupBy("id").agg(F.collect_list(F.struct("h", F.col("data").alias("spans"))).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,6 +468,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(pa.int64()))], ["id", "kept", "n_bytes", "n_removed", "n_spans", "spans"])
 
     all_rows = marked.join(spans.hint("shuffle_hash"), "id", "left").select("id", "h", "z", "copies", "spans")
-    out = all_rows.mapInArrow(finish, "id long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<long>")
+    out = all_rows.mapInArrow(lean(finish), "id long, kept binary, n_bytes long, n_removed long, n_spans long, spans array<long>")
     return out.select(F.col("id").cast(kind).alias(id_col), "kept", "n_bytes", "n_removed", "n_spans", "spans")
 

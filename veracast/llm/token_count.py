@@ -20,12 +20,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import chunks, texts
+from .common import CACHES, chunks, lean, texts
 
 #: The split pattern that the byte-level vocabulary is defined with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens whose counts a worker remembers; the cache is emptied beyond that.
-CACHE_SIZE = 200_000
+#: Bytes of pre-tokens whose counts a task remembers, with what Python needs beside them; beyond that the cache is emptied.
+CACHE_BYTES, ENTRY_BYTES = 30 << 20, 150
 _NONE = np.int64(1) << 40
 
 
@@ -116,6 +116,7 @@ class TokenCounter:
         self.path = path
         self.library = None
         self.known: dict[str, int] = {}
+        self.size = 0
 
     def pieces(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens of a text and how many added tokens it holds."""
@@ -130,11 +131,13 @@ class TokenCounter:
     def count(self, batch: list[str]) -> list[int]:
         cut = [self.pieces(t) for t in batch]
         odd = [k for k, t in enumerate(batch) if not t.isascii() and any(unicodedata.category(c) == "Cn" for c in set(self.new.findall(t)))]
-        if len(self.known) > CACHE_SIZE:
+        if self.size > CACHE_BYTES:
             self.known.clear()
+            self.size = 0
         fresh = list(set().union(*(p for p, _ in cut)) - self.known.keys())
         if fresh:
             self.known.update(zip(fresh, self.merger.counts([w.encode() for w in fresh]).tolist(), strict=True))
+            self.size += sum(map(len, fresh)) + ENTRY_BYTES * len(fresh)
         of = self.known.__getitem__
         out = [sum(map(of, p)) + extra for p, extra in cut]
         for k in odd:  # characters newer than one of the Unicode tables at hand: their class is the library's to say
@@ -147,6 +150,7 @@ class TokenCounter:
 
 
 _COUNTERS: dict[str, TokenCounter] = {}
+CACHES.append(_COUNTERS.clear)
 
 
 def counter(path: str) -> TokenCounter:
@@ -170,5 +174,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
-    out = src.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = src.mapInArrow(lean(run), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_col)
