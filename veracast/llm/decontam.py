@@ -6,8 +6,9 @@ own separator.  The Burrows-Wheeler transform of that sequence is kept as a wave
 together, two ranks a step; rows that remain are located by walking to the nearest sampled suffix position, and the spans
 of all occurrences are merged.
 
-The benchmark is the query set: it is taken in blocks of bounded size, each broadcast and searched in every shard, and the
-blocks' spans are merged without any shuffle of documents.
+The benchmark is the query set: it is taken in blocks of bounded size, each broadcast, and a task reads them one after another
+for some megabytes of documents; the blocks' spans are merged without any shuffle of documents.  Neither the driver nor a
+task holds more than one block.
 
 Defined results: a null or empty text has no words and no hits; a null or wordless item has no window; items without an id
 are left out, or with ``nameless`` searched like any other and only missing from ``item_ids``; repeated item ids count once; repeated documents each get a row; with an empty benchmark nothing is hit; other
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from .common import chunks, lean, ragged, runs, span_hashes, utf8
 
 #: Bytes of benchmark text searched for at once; what is broadcast is at most about 25 times that.
 BLOCK_BYTES = 2 << 20
+#: Bytes of documents that several blocks are searched for in together.
+GATHERED_BYTES = 8 << 20
 #: Every so many places of a run, the suffix's position is kept.
 SAMPLE = 16
 
@@ -250,7 +254,7 @@ def _union(a: list[int], b: list[int]) -> list[int]:
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, block_bytes: int, nameless: bool) -> Iterator[Windows]:
     items = benchmark.where((F.lit(nameless) | F.col(id_col).isNotNull()) & (F.octet_length(text_col) > 0)).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes)
+    n = max(1, -(-total // block_bytes))
     for k in range(n):
         part = (items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)).toArrow()
         yield Windows(part.column("id").to_pylist(), part.column("text").to_pylist(), size)
@@ -265,42 +269,75 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
 
     ``keep`` names columns to carry along, as the fields of a struct ``row``.  ``nameless``: items without an id are searched too.  A window is ``window`` consecutive words of an item, or all words of a shorter one.
     """
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*keep).alias("row") if keep else F.lit(None).cast("int").alias("row"), F.lit(0).cast("long").alias("n_words"), F.expr("array() :: array<long>").alias("words"), F.expr("array() :: array<long>").alias("bytes"), F.expr("array() :: array<string>").alias("item_ids"))
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*keep).alias("row") if keep else F.lit(None).cast("int").alias("row"))
     kind, row = (out.schema[c].dataType.simpleString() for c in ("id", "row"))
     spark = docs.sparkSession
-    blocks = _blocks(benchmark, item_col, item_text_col, window, block_bytes, nameless)
-    for windows in [next(blocks, Windows([], [], window)), *blocks]:
-        out = out.mapInArrow(lean(_stage(spark.sparkContext.broadcast(windows))), _SCHEMA.format(kind=kind, row=row))
+    # a block is let go of on the driver as soon as it is broadcast
+    shared = [spark.sparkContext.broadcast(w) for w in _blocks(benchmark, item_col, item_text_col, window, block_bytes, nameless)]
+    out = out.mapInArrow(lean(_search(shared)), _SCHEMA.format(kind=kind, row=row))
     return (out if keep else out.drop("row")).withColumnRenamed("id", id_col).withColumnRenamed("text", text_col)
 
 
-def _stage(shared):
+def _loaded(shared: list[Broadcast]) -> Iterator[Windows]:
+    """The blocks one after another; of several, each is let go of before the next is read."""
+    for block in shared:
+        yield block.value
+        if len(shared) > 1:
+            block.__dict__.pop("_value", None)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], n_blocks: int) -> Iterator[list[pa.RecordBatch]]:
+    """Chunks to be searched together, so that several blocks are not read for every chunk."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in chunks(batches):
+        held.append(batch)
+        size += batch.nbytes
+        if n_blocks < 2 or size > GATHERED_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def chunk_hits(windows: Windows, column: pa.Array) -> tuple[np.ndarray, list[list[int]], list[list[int]], list[list[str]]]:
+    """Of each text: how many words; merged spans of hit words, in words and in bytes; items whose windows occur."""
+    raw, offsets = utf8(column)
+    low, start, end, bounds = words_of(raw, offsets)
+    text_of = np.repeat(np.arange(len(column)), np.diff(bounds))
+    symbol = windows.symbols(span_hashes(low, start, end), end - start)
+    mask, pairs = shard_hits(windows, symbol, text_of)
+    words, cuts, items = ([[] for _ in range(len(column))] for _ in range(3))
+    if mask.any():
+        split = np.r_[True, np.diff(text_of) != 0]
+        first = mask & (split | ~np.r_[False, mask[:-1]])
+        last = mask & (np.r_[split[1:], True] | ~np.r_[mask[1:], False])
+        for a, b in zip(np.flatnonzero(first).tolist(), np.flatnonzero(last).tolist(), strict=True):
+            k = int(text_of[a])
+            words[k] += [a - int(bounds[k]), b + 1 - int(bounds[k])]
+            cuts[k] += [int(start[a] - offsets[k]), int(end[b] - offsets[k])]
+        for k, item in pairs.tolist():
+            if windows.names[item] is not None:
+                items[k].append(windows.names[item])
+    return np.diff(bounds), words, cuts, items
+
+
+def _search(shared: list[Broadcast]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = shared.value
-        for batch in chunks(batches):
-            raw, offsets = utf8(batch.column("text"))
-            low, start, end, bounds = words_of(raw, offsets)
-            text_of = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            symbol = windows.symbols(span_hashes(low, start, end), end - start)
-            mask, pairs = shard_hits(windows, symbol, text_of)
-            words, cuts, items = ([[] for _ in range(batch.num_rows)] for _ in range(3))
-            if mask.any():
-                split = np.r_[True, np.diff(text_of) != 0]
-                first = mask & (split | ~np.r_[False, mask[:-1]])
-                last = mask & (np.r_[split[1:], True] | ~np.r_[mask[1:], False])
-                for a, b in zip(np.flatnonzero(first).tolist(), np.flatnonzero(last).tolist(), strict=True):
-                    k = int(text_of[a])
-                    words[k] += [a - int(bounds[k]), b + 1 - int(bounds[k])]
-                    cuts[k] += [int(start[a] - offsets[k]), int(end[b] - offsets[k])]
-                for k, item in pairs.tolist():
-                    if windows.names[item] is not None:
-                        items[k].append(windows.names[item])
-            had = [batch.column(c).to_pylist() for c in ("words", "bytes", "item_ids")]
-            words = [_union(a, b) for a, b in zip(words, had[0], strict=True)]
-            cuts = [_union(a, b) for a, b in zip(cuts, had[1], strict=True)]
-            items = [sorted({*a, *b}) for a, b in zip(items, had[2], strict=True)]
+        for held in _gathered(batches, len(shared)):
+            found: list[tuple | None] = [None] * len(held)
+            for windows in _loaded(shared):
+                for k, batch in enumerate(held):
+                    n, words, cuts, items = chunk_hits(windows, batch.column("text"))
+                    if found[k] is not None:
+                        _, w, c, i = found[k]
+                        words, cuts = ([_union(x, y) for x, y in zip(*z, strict=True)] for z in ((words, w), (cuts, c)))
+                        items = [[*x, *y] for x, y in zip(items, i, strict=True)]
+                    found[k] = n, words, cuts, items
             longs, strings = pa.list_(pa.int64()), pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), batch.column("row"), pa.array(np.diff(bounds)), pa.array(words, longs), pa.array(cuts, longs), pa.array(items, strings)], ["id", "text", "row", "n_words", "words", "bytes", "item_ids"])
+            for batch, (n, words, cuts, items) in zip(held, found, strict=True):
+                items = [sorted(set(x)) for x in items]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), batch.column("row"), pa.array(n), pa.array(words, longs), pa.array(cuts, longs), pa.array(items, strings)], ["id", "text", "row", "n_words", "words", "bytes", "item_ids"])
 
     return run
 
