@@ -31,6 +31,8 @@ from .components import connected_components
 
 #: Buckets up to this size are compared pair by pair, larger ones by pivots.
 SMALL = 33
+#: Variants that a task matches at once: partitions grow with the fingerprints, so that a task's rows do not.
+PART_ROWS = 1 << 20
 
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
@@ -166,6 +168,7 @@ def bucket_links(key: np.ndarray, bit: np.ndarray, value: np.ndarray, distance:
 
 def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     """(a, b): links that connect the distinct values of the column fingerprint which are at most ``distance`` bits apart."""
+    parts = max(shuffle_parts(distinct.sparkSession), -(-64 * distinct.count() // PART_ROWS))
     masks = _masks(distance).view(np.int64).tolist()
     # a wiped bit's number goes where its segment has no bits
     place = [58 if b <= 58 else 0 for a, b in segments(distance) for _ in range(a, b)]
@@ -173,7 +176,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
     shift = F.array(*[F.lit(p) for p in place])
     rows = distinct.select("fingerprint", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"))
     key = F.get(table, F.col("bit")).bitwiseAND(F.col("fingerprint")).bitwiseXOR(F.call_function("shiftleft", F.col("bit").cast("long"), F.get(shift, F.col("bit"))))
-    rows = rows.select(key.alias("key"), F.col("bit").cast("byte").alias("bit"), "fingerprint").repartition(shuffle_parts(distinct.sparkSession), "key", "bit")
+    rows = rows.select(key.alias("key"), F.col("bit").cast("byte").alias("bit"), "fingerprint").repartition(parts, "key", "bit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[b.column(c).to_numpy() for c in ("key", "bit", "fingerprint")] for b in batches]
