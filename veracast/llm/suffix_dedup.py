@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import by_part, chunks, from_parts, lean, ragged, shuffle_parts, span_hashes, stored, texts
 
 LENGTH, ANCHOR, SIDE = 50, 25, 13
+#: Of a repeated string, the most bytes that the order of suffixes and one-byte sizes of surroundings can settle.
+LONGEST = 56
 #: Text bytes for each bucket of anchors, and of surroundings; bytes of a text handled at once; bytes of surroundings sorted together.
 BUCKET_BYTES, PLACE_BYTES, PIECE, SORT_BYTES = 64 << 20, 24 << 20, 1 << 20, 2 << 20
 _HASH_BITS = 40
@@ -177,7 +179,7 @@ def repeated_windows(surroundings: list[bytes], least: np.ndarray, length: int)
     text = np.frombuffer(b"\xff".join(surroundings) + b"\xff" + b"\xff" * 64, np.uint8) + np.uint8(1)  # separators become 0
     start = np.cumsum(size + 1) - size - 1
     owner = np.repeat(np.arange(len(size)), size + 1)
-    order = two_stage_order(text, 56)
+    order = two_stage_order(text, LONGEST)
     inside = order - start[owner[order]] <= size[owner[order]] - length
     order = order[inside]
     windows = size - length + 1
@@ -417,6 +419,8 @@ def merge_spans(pairs: np.ndarray) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, kept (binary, the bytes that stay), n_bytes, n_removed, n_spans and spans (flat list of byte offsets) of each row."""
+    if not ANCHOR + SIDE <= length <= LONGEST:
+        raise ValueError(f"length must be from {ANCHOR + SIDE} to {LONGEST}")
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
