@@ -21,14 +21,21 @@ BATCH_BYTES = 2 << 20
 ROW_GROUP_BYTES = 16 << 20
 
 
-#: What empties each cache that this process has filled.
+#: What empties each cache that this process has filled, and the module whose task filled them.
 CACHES: list[Callable[[], None]] = []
+_HOLDER = [""]
+
+
+def turn_to(module: str) -> None:
+    """Empties the caches of another operator's tasks, if this process has run them."""
+    if _HOLDER[0] != module:
+        for clear in CACHES:
+            clear()
+        _HOLDER[0] = module
 
 
 def let_go() -> None:
-    """Empties the caches and gives free memory back, so that the next task in this process starts without what this one held."""
-    for clear in CACHES:
-        clear()
+    """Gives free memory back, so that the next task in this process starts without what this one held."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -37,9 +44,11 @@ def let_go() -> None:
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for ``mapInArrow``, holding nothing once its task has ended."""
+    """``run`` for ``mapInArrow``: nothing but its module's bounded caches outlives a task, and those no task of another operator."""
+    module = run.__module__
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(module)
         try:
             yield from run(batches)
         finally:
