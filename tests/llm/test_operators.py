@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -260,6 +261,9 @@ def test_repeats(spark, seed):
     got = suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
     same(got.collect(), brute_repeats(rows))
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
+    for length in (10, 64):
+        with pytest.raises(ValueError):
+            suffix_dedup.remove_repeats(docs, length)
 
 
 def test_two_stage_sorting():
@@ -318,6 +322,92 @@ def test_personal_data(spark):
     assert right > 150 and wrong <= 8
 
 
+def path_score(field, text, spans):
+    """The score of a segmentation, all tokens outside the spans taken one by one."""
+    cuts, candidates = field.candidates(text)
+    score = {(a, b): s for (a, b, _), s in zip(candidates, field.scores(candidates), strict=True) if (a, b) not in {(x, y) for x, y, _ in spans} or s[0] == -np.inf}
+    single = {(a, b): s for (a, b, _), s in zip(candidates, field.scores(candidates), strict=True) if s[0] > -np.inf}
+    total, last, at = 0.0, 0, 0
+    for a, b, y in [*sorted(spans), (len(cuts) - 1, None, None)]:
+        while at < a:
+            total += field.steps[last, 0] + single[at, at + 1][0]
+            last, at = 0, at + 1
+        if b is not None:
+            total += field.steps[last, y] + score[a, b][y]
+            last, at = y, b
+    return total
+
+
+def all_segmentations(candidates, n, at=0):
+    if at == n:
+        yield []
+        return
+    for a, b, is_span in candidates:
+        if a == at:
+            for rest in all_segmentations(candidates, n, b):
+                if is_span:
+                    yield from ([(a, b, y), *rest] for y in range(1, len(pii.KINDS) + 1))
+                else:
+                    yield rest
+
+
+def test_best_segmentation_is_that_of_all():
+    field, rng = pii.trained_field(), random.Random(22)
+    for _ in range(60):
+        text = "".join(rng.choice(["+1 ", "269", "555-3296", "(312) ", " ", "4524132264652876", ".", "10.0", "a@b.de", "x"]) for _ in range(rng.randint(2, 5)))
+        cuts, candidates = field.candidates(text)
+        spans = [(a, b, s[0] == -np.inf) for (a, b, _), s in zip(candidates, field.scores(candidates), strict=True)]
+        if sum(s for _, _, s in spans) > 9:
+            continue
+        at = {c: k for k, c in enumerate(cuts)}
+        got = [(at[s], at[e], k + 1) for s, e, k in field.best(text, 0, len(text))]
+        most = max(path_score(field, text, found) for found in all_segmentations(spans, len(cuts) - 1))
+        assert path_score(field, text, got) == pytest.approx(most, abs=1e-9)
+
+
+def test_long_numbers_take_bounded_memory(monkeypatch):
+    field = pii.trained_field()
+    text = " ".join(map(str, range(9000))) + " +1 (269) 555-3296 4524132264652876 " * 200
+    whole = field.best(text, 0, len(text))
+    monkeypatch.setattr(pii, "SETTLE", 64)
+    assert field.best(text, 0, len(text)) == whole and len(whole) > 300
+    peaks = []
+    for n in (1, 3):
+        tracemalloc.start()
+        field.best(text[:15_000] * n, 0, 15_000 * n)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] + 200_000
+
+
+def test_hashing_selects_and_recalls():
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(20_000, 32)).astype(np.float32)
+    rotations, probes = ann.plan(len(x), 32)
+    assert rotations == 2
+    block = ann.QueryBlock(np.arange(0, 20_000, 400), x[::400], ann.TABLES, rotations, probes)
+    met = sum(len(q) for q, _ in block.pairs(ann.unit_vectors(x)))
+    assert met < 0.6 * 50 * len(x)
+    ids, rows, d = block.search(np.arange(len(x)), x, 10)
+    hits = 0
+    for q in range(0, 20_000, 400):
+        true = np.argsort(((x.astype(float) - x[q].astype(float)) ** 2).sum(1), kind="stable")[1:11]
+        hits += len({*true.tolist()} & {*rows[ids == q].tolist()})
+    assert hits >= 0.9 * 500
+    exact = ann.QueryBlock(np.arange(0, 20_000, 4000), x[::4000], 0, rotations, probes)
+    ids, rows, d = exact.search(np.arange(len(x)), x, 10)
+    true = np.argsort(((x.astype(float) - x[4000].astype(float)) ** 2).sum(1), kind="stable")[1:11]
+    assert rows[ids == 4000].tolist() == true.tolist()
+
+
+def test_wide_rotations_are_the_dense_ones(monkeypatch):
+    x = ann.unit_vectors(np.random.default_rng(3).normal(size=(40, 20)).astype(np.float32))
+    dense = ann.CrossPolytope(20, 2, 2)
+    monkeypatch.setattr(ann, "DENSE", 0)
+    plain = ann.CrossPolytope(20, 2, 2)
+    assert np.allclose(dense.turned(x, 1, 1), plain.turned(x, 1, 1), atol=1e-5)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 24)).astype(np.float32)
@@ -335,6 +425,11 @@ def test_neighbours(spark):
         assert len(found[q]) == 10 and found[q] == sorted(found[q]) and all(s == pytest.approx(d[k], abs=1e-12) for s, k in found[q])
         hits += len({k for _, k in true} & {k for _, k in found[q]})
     assert hits >= 0.9 * 150 and [k for _, k in found[700]] == list(range(701, 711))
+    # whatever is found, distances are exact and ranked; probing every bucket of two rotations finds all
+    every = ann.nearest_neighbours(df, df.where("vec_id % 100 = 0"), tables=1, rotations=2, probes=1 << 12, block_bytes=1 << 18).collect()
+    for q in range(0, 1500, 300):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        assert len([r for r in every if r.query_id == q]) == 10 and all(r.score == pytest.approx(d[r.vec_id], abs=1e-12) for r in every if r.query_id == q)
     few = ann.nearest_neighbours(df.where("vec_id < 4"), df.where("vec_id = 0")).collect()
     assert {r.vec_id for r in few} == {1, 2, 3}
     assert ann.nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
