@@ -435,9 +435,11 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_language_model(spark):
+@pytest.mark.parametrize("hot", [0, 3, ppm.HOT_WORDS])
+def test_language_model(spark, hot, monkeypatch):
+    monkeypatch.setattr(ppm, "DEEP_BUCKETS", 3)  # so that what is asked of a group comes in shares
     rows = made_up(16)
-    out = ppm.score_documents(documents(spark, rows), kept=(50, 50, 50)).collect()
+    out = ppm.score_documents(documents(spark, rows), kept=(50, 50, 50), hot=hot).collect()
     counts, tokens = Counter(), []
     for i, t in rows:
         w = [*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None]

@@ -12,9 +12,10 @@ greater length.  It settles the places whose longest context it is sure to hold.
 bytes of context, where all longer contexts with those three meet: a bucket works out each distinct string from the counts
 themselves and sends back sums per document.  So ``kept`` says how much is sent, and nothing about the score.
 
-The base score is a unigram model over words.  Its counts cover the whole vocabulary, which grows with the corpus, so they
-are never broadcast: each chunk of texts sends, to each bucket of word hashes, its distinct words and who holds them how often, in
-numpy blobs; buckets add up the counts and send back sums per document.
+The base score is a unigram model over words.  Its counts cover the whole vocabulary, which grows with the corpus.  The
+``hot`` commonest words' counts are broadcast (a fixed size): any other word is at most one in ``hot`` of all, so that no bucket
+gets much for one word.  For the others each chunk of texts sends, to each bucket of word hashes, its distinct words and who holds
+them how often, in numpy blobs; buckets add up the counts and send back sums per document.
 
 Defined results: a null or empty text is the end symbol (and one end token); rows without an id are training rows; without any
 training row counts are zero and the model is uniform; repeated rows each get a row; an empty table gives an empty result; other
@@ -42,8 +43,12 @@ ORDER = 5
 KEPT = (24_576, 49_152, 49_152)
 #: Groups of strings by their last three bytes of context; a bucket is one or more of them.
 GROUPS = 1 << 12
-#: Training bytes for each bucket of word hashes, and for each task that merges counts.
-BUCKET_BYTES = 24 << 20
+#: Training bytes for each bucket of word hashes, and for each task that merges counts; counts that a task holds before it merges them.
+BUCKET_BYTES, MERGE_BYTES, HELD = 24 << 20, 64 << 20, 1_500_000
+#: Buckets of groups; what is asked of one is dealt out further once there are more buckets of words than that.
+DEEP_BUCKETS = 1 << 10
+#: Words whose counts are broadcast.
+HOT_WORDS = 1 << 17
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -100,51 +105,86 @@ def _is_training(ids: list, modulus: int, held_out: int) -> np.ndarray:
     return np.array([i is None or crc_of_id(i) % modulus != held_out for i in ids], bool)
 
 
-def string_counts(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
-    """(part, keys, counts): each group's strings in the training texts, sorted, and how often they occur."""
-    parts = shuffle_parts(docs.sparkSession)
+class Counts:
+    """Counts of numbers, merged now and then as they come."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.held.append((keys, counts))
+        self.size += len(keys)
+        if self.size > HELD and len(self.held) > 1:
+            self.held = [self.all()]
+            self.size = len(self.held[0][0]) // 2
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return merged(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
+
+
+def string_counts(docs: DataFrame, modulus: int, held_out: int, hot: int = HOT_WORDS) -> DataFrame:
+    """(part, keys, counts): each group's strings in the training texts, sorted, and how often they occur; with part -1 words by
+    their hashes, the ``hot`` commonest among them."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(GROUPS, max(shuffle_parts(docs.sparkSession), -(-total // MERGE_BYTES)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for batch in chunks(batches, limit=1 << 20):
+        by_kind = Counts(), Counts()
+        for batch in chunks(batches):
             batch = batch.filter(pa.array(_is_training(batch.column("id").to_pylist(), modulus, held_out)))
             if batch.num_rows:
-                symbols, ask, _ = stream(*utf8(batch.column("text")))
-                held.append(np.unique(strings(symbols, ask), return_counts=True))
-                size += len(held[-1][0])
-                if size > 1_500_000 and len(held) > 1:
-                    held = [merged(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                    size = len(held[0][0]) // 2
-        if held:
-            keys, counts = merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                raw, offsets = utf8(batch.column("text"))
+                symbols, ask, _ = stream(raw, offsets)
+                by_kind[0].add(*np.unique(strings(symbols, ask), return_counts=True))
+                if hot:
+                    by_kind[1].add(*np.unique(np.r_[_words(raw, offsets)[0], np.repeat(_end_word(), batch.num_rows)], return_counts=True))
+        for k, counts in enumerate(by_kind):
+            keys, n = counts.all()
             # all strings that share their last context of three bytes meet in one bucket, so longer contexts do as well
-            bucket = _group(keys) % parts
+            bucket = (_group(keys) if k == 0 else (keys % np.uint64(parts)).astype(np.int64)) % parts
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(parts + 1))
-            rows = [(b, keys[o].tobytes(), counts[o].astype(np.int64).tobytes()) for b in range(parts) if len(o := order[edges[b] : edges[b + 1]])]
+            rows = [(b + k * parts, keys[o].tobytes(), n[o].astype(np.int64).tobytes()) for b in range(parts) if len(o := order[edges[b] : edges[b + 1]])]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "keys", "counts"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
+        by_kind = Counts(), Counts()
         for batch in batches:
-            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                keys.append(np.frombuffer(k, np.uint64))
-                counts.append(np.frombuffer(c, np.int64))
-        if not keys:
-            return
-        key, n = merged(np.concatenate(keys), np.concatenate(counts))
+            for b, k, c in zip(*(batch.column(x).to_pylist() for x in ("bucket", "keys", "counts")), strict=True):
+                by_kind[b >= parts].add(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64))
+        key, n = by_kind[0].all()
         part = _group(key)
         order = np.argsort(part, kind="stable")
         key, n, part = key[order], n[order], part[order]
-        edges = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), len(part)]
+        edges = [*np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist(), len(part)] if len(part) else []
         for a, b in zip(edges, edges[1:], strict=False):
             yield pa.RecordBatch.from_arrays([pa.array(part[a : a + 1].astype(np.int32)), pa.array([key[a:b].tobytes()], pa.binary()), pa.array([n[a:b].tobytes()], pa.binary())], ["part", "keys", "counts"])
+        key, n = by_kind[1].all()
+        if len(key):
+            top = np.lexsort((key, -n))[:hot]
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([key[top].tobytes()], pa.binary()), pa.array([n[top].tobytes()], pa.binary())], ["part", "keys", "counts"])
 
     found = docs.mapInArrow(lean(count), "bucket int, keys binary, counts binary").repartition(parts, "bucket")
     return found.mapInArrow(lean(gather), "part int, keys binary, counts binary")
 
 
+def hot_words(found: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the ``hot`` commonest words, sorted, and their counts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(c, np.int64))], ["word", "n"])
+
+    top = found.where("part = -1").select("keys", "counts").mapInArrow(lean(rows), "word long, n long").orderBy(F.desc("n"), "word").limit(hot).toArrow()
+    words, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(words)
+    return words[order], n[order]
+
+
 def context_counts(found: DataFrame) -> DataFrame:
     """(width, context, total, symbols, counts): followers of each context of three to ``ORDER`` bytes; of width 2 a row for
     each string of three bytes in each group, its ``total`` yet to be added up."""
@@ -168,7 +208,7 @@ def context_counts(found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), 2, np.int32)), pa.array(key.astype(np.int64)), pa.array(n), none, none], names)
 
     names = ["width", "context", "total", "symbols", "counts"]
-    return found.select("keys", "counts").mapInArrow(lean(run), "width int, context long, total long, symbols binary, counts binary")
+    return found.where("part >= 0").select("keys", "counts").mapInArrow(lean(run), "width int, context long, total long, symbols binary, counts binary")
 
 
 class Floor:
@@ -354,13 +394,13 @@ class Trie:
 
 def train(docs: DataFrame, modulus: int = 7, held_out: int = 2, kept: tuple[int, ...] = KEPT, id_col: str = "doc_id", text_col: str = "text") -> tuple[Trie, int]:
     """The trie and the number of symbols that it was counted on."""
-    return _train(docs, modulus, held_out, kept, id_col, text_col)[:2]
+    return _train(docs, modulus, held_out, kept, 0, id_col, text_col)[:2]
 
 
-def _train(docs: DataFrame, modulus: int, held_out: int, kept: tuple[int, ...], id_col: str, text_col: str) -> tuple[Trie, int, DataFrame]:
-    """The trie, the number of symbols, and all strings counted."""
+def _train(docs: DataFrame, modulus: int, held_out: int, kept: tuple[int, ...], hot: int, id_col: str, text_col: str) -> tuple[Trie, int, DataFrame]:
+    """The trie, the number of symbols, and all strings and the commonest words counted."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = stored(string_counts(src, modulus, held_out), "strings")
+    found = stored(string_counts(src, modulus, held_out, hot), "strings")
     counts = stored(context_counts(found), "contexts")
 
     def top(width: int, n: int) -> pa.Table:
@@ -372,7 +412,7 @@ def _train(docs: DataFrame, modulus: int, held_out: int, kept: tuple[int, ...],
     return Trie({2: pairs} | {w: top(w, kept[w - 3]) for w in range(3, ORDER + 1)}, sizes), total, found
 
 
-_OUT = "row_key long, id {kind}, held_out boolean, n_tokens long, score double, bucket int, blob binary"
+_OUT = "row_key long, id {kind}, held_out boolean, n_tokens long, score double, hot_s double, hot_known long, bucket int, blob binary"
 
 
 def _word_blobs(hashes: np.ndarray, owner: np.ndarray, n_docs: int, n_train: int, first_key: int, n_buckets: int, bucket_of: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> list[tuple[int, bytes]]:
@@ -483,24 +523,30 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(part) > len(have[k]):
                     have[k] = np.r_[have[k], np.zeros(len(part) - len(have[k]), kind)]
                 have[k][: len(part)] += part
-    for key, (s, known, deep) in found.items():
-        deep = np.r_[deep, np.zeros(len(s) - len(deep))]
+    for key, sums in found.items():
+        n = max(map(len, sums))
+        s, known, deep = (np.r_[x, np.zeros(n - len(x), x.dtype)] for x in sums)
         yield pa.RecordBatch.from_arrays([pa.array(key + np.arange(len(s))), pa.array(s), pa.array(known), pa.array(deep)], ["row_key", "s", "known", "deep"])
 
 
-def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, kept: tuple[int, ...] = KEPT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, kept: tuple[int, ...] = KEPT, hot: int = HOT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of each row."""
     spark = docs.sparkSession
-    trie, total, found = _train(docs, modulus, held_out, kept, id_col, text_col)
+    trie, total, found = _train(docs, modulus, held_out, kept, hot, id_col, text_col)
+    common_words = hot_words(found, hot)
     floor, trie.floor = spark.sparkContext.broadcast(trie.floor), None
-    shared = spark.sparkContext.broadcast(trie)
+    shared, words = spark.sparkContext.broadcast(trie), spark.sparkContext.broadcast(common_words)
     n_buckets = max(8, -(-total // BUCKET_BYTES))
+    n_deep = min(n_buckets, DEEP_BUCKETS)
+    n_shares = -(-n_buckets // n_deep)
     kind = docs.schema[id_col].dataType.simpleString()
-    end_word = span_hashes(np.frombuffer(b" ", np.uint8), np.array([0]), np.array([1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        key = (context.partitionId() if context else 0) << 40
+        partition, n_chunks = context.partitionId() if context else 0, 0
+        key = partition << 40
+        hot_hash, hot_n = words.value
+        worth = np.log10(hot_n + 1.0)
         for big in chunks(batches, limit=2 << 20):
             for cut in range(0, big.num_rows, 1 << 15):
                 batch = big.slice(cut, 1 << 15)
@@ -508,7 +554,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, kept:
                 batch = batch.take(pa.array(np.argsort(~train_row, kind="stable")))  # training rows first
                 n, n_train = batch.num_rows, int(train_row.sum())
                 score, asked, asker, done = [], [], [], 0
-                for part in chunks([batch], limit=1 << 20):
+                for part in chunks([batch]):
                     for into, x in zip((score, asked, asker), shared.value.score(*utf8(part.column("text"))), strict=True):
                         into.append(x)
                     asker[-1] += done
@@ -517,33 +563,47 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, kept:
                 raw, offsets = utf8(batch.column("text"))
                 hashes, owner = _words(raw, offsets)
                 tokens = np.bincount(owner, minlength=n) + 1
-                hashes, owner = np.r_[hashes, np.repeat(end_word, n)], np.r_[owner, np.arange(n)]
+                hashes, owner = np.r_[hashes, np.repeat(_end_word(), n)], np.r_[owner, np.arange(n)]
+                hot_s, hot_known = np.zeros(n), np.zeros(n, np.int64)
+                if len(hot_hash):
+                    place, ok = _find(hot_hash, hashes)
+                    hot_s, hot_known = np.bincount(owner[ok], worth[place[ok]], n), np.bincount(owner[ok], minlength=n)
+                    hashes, owner = hashes[~ok], owner[~ok]
                 none = pa.nulls(n)
-                yield pa.RecordBatch.from_arrays([pa.array(key + np.arange(n)), batch.column("id"), pa.array(np.arange(n) >= n_train), pa.array(tokens), pa.array(score), none.cast(pa.int32()), none.cast(pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(key + np.arange(n)), batch.column("id"), pa.array(np.arange(n) >= n_train), pa.array(tokens), pa.array(score), pa.array(hot_s), pa.array(hot_known), none.cast(pa.int32()), none.cast(pa.binary())], names)
                 blobs = _word_blobs(hashes, owner, n, n_train, key, n_buckets)
-                blobs += [(n_buckets + b, blob) for b, blob in _word_blobs(asked, asker, n, n_train, key, n_buckets, _group)]
+                share = n_buckets + n_deep * ((partition + n_chunks) % n_shares)
+                blobs += [(share + b, blob) for b, blob in _word_blobs(asked, asker, n, n_train, key, n_deep, _group)]
                 none, m = pa.nulls(len(blobs)), len(blobs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, key)), none.cast(batch.schema.field("id").type), none.cast(pa.bool_()), none.cast(pa.int64()), none.cast(pa.float64()), pa.array([b for b, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, key)), none.cast(batch.schema.field("id").type), none.cast(pa.bool_()), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.float64()), none.cast(pa.int64()), pa.array([b for b, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names)
                 key += n
+                n_chunks += 1
 
-    names = ["row_key", "id", "held_out", "n_tokens", "score", "bucket", "blob"]
+    names = ["row_key", "id", "held_out", "n_tokens", "score", "hot_s", "hot_known", "bucket", "blob"]
     both = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), _OUT.format(kind=kind)), "word-blobs")
     sent = both.where("bucket is not null").select("bucket", "blob")
     sums_kind = "first_key long, s binary, known binary, deep binary"
-    words = sent.where(F.col("bucket") < n_buckets).repartition(n_buckets, "bucket").mapInArrow(lean(_sums), sums_kind)
+    cold = sent.where(F.col("bucket") < n_buckets).repartition(n_buckets, "bucket").mapInArrow(lean(_sums), sums_kind)
     asked = sent.where(F.col("bucket") >= n_buckets).select((F.col("bucket") - n_buckets).alias("bucket"), "blob", F.lit(None).cast("binary").alias("counts"))
-    known = found.select((F.col("part") % n_buckets).alias("bucket"), F.col("keys").alias("blob"), "counts")
-    deep = asked.unionAll(known).repartition(n_buckets, "bucket").mapInArrow(lean(_deep_sums(floor)), sums_kind)
+    # every share of what is asked meets a copy of its group's strings
+    share = F.explode(F.sequence(F.lit(0), F.lit(n_shares - 1)))
+    known = found.where("part >= 0").select((F.col("part") % n_deep).alias("at"), share.alias("share"), F.col("keys").alias("blob"), "counts").select((F.col("at") + n_deep * F.col("share")).cast("int").alias("bucket"), "blob", "counts")
+    deep = asked.unionAll(known).repartition(n_deep * n_shares, "bucket").mapInArrow(lean(_deep_sums(floor)), sums_kind)
     shared.unpersist()
-    sums = words.unionAll(deep).repartition(shuffle_parts(spark), "first_key")
+    sums = cold.unionAll(deep).repartition(max(shuffle_parts(spark), n_buckets), "first_key")
     sums = stored(sums.mapInArrow(lean(_add_up), "row_key long, s double, known long, deep double"), "word-sums")
     floor.unpersist()
     n_types, n_words = sums.where("row_key = -1").agg(F.sum("s"), F.sum("known")).first()
-    n_types, n_words = n_types or 0.0, n_words or 0
-    of = sums.where("row_key >= 0").select("row_key", "s", F.col("known").alias("n_known"), "deep")
-    rows = both.where("bucket is null").drop("bucket", "blob").join(of, "row_key")
-    base = F.col("s") - F.col("n_tokens") * float(np.log10(n_words + n_types + 1.0))
-    return rows.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_words).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.col("deep")).alias("score"))
+    n_types, n_words = (n_types or 0.0) + len(common_words[0]), (n_words or 0) + int(common_words[1].sum())
+    rows = both.where("bucket is null").drop("bucket", "blob").join(sums.where("row_key >= 0"), "row_key", "left")
+    some = lambda c: F.coalesce(F.col(c), F.lit(0))
+    base = some("s") + F.col("hot_s") - F.col("n_tokens") * float(np.log10(n_words + n_types + 1.0))
+    return rows.select(F.col("id").alias(id_col), "held_out", "n_tokens", (some("known") + F.col("hot_known")).alias("n_known"), F.lit(n_words).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + some("deep")).alias("score"))
+
+
+def _end_word() -> np.ndarray:
+    """The hash that stands for the end of a text among its words."""
+    return span_hashes(np.frombuffer(b" ", np.uint8), np.array([0]), np.array([1]))
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
