@@ -75,29 +75,39 @@ def keyword_count(clean: Column) -> Column:
 def text_statistics(x: Column) -> Column:
     """A struct of counts and ratios of tokens, hashtags and exclamation marks; all zero for null.
 
-    Tokens are sorted, and one pass over the runs of equal ones gives the commonest and the number occurring three times.
+    Tokens are sorted, and one pass over the runs of equal ones gives how many there are, how many different ones, the
+    commonest and the number occurring three times.  The struct comes out of a one-element array, so that it stays one
+    expression: of a plain struct each field would be worked out by itself, with all that it is made of.
     """
     text = F.coalesce(x, F.lit(""))
     tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t))
 
     def step(acc: Column, token: Column) -> Column:
         run = F.when(acc["last"] == token, acc["run"] + 1).otherwise(1)
-        return F.struct(token.alias("last"), run.alias("run"), F.greatest(acc["best"], run).alias("best"), (acc["thrice"] + F.when(run == 3, 1).otherwise(0)).alias("thrice"))
-
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"), F.lit(0).alias("thrice"))
-    runs = F.aggregate(F.array_sort(tokens), start, step)
-    n, hashtags = F.size(tokens), F.regexp_count(text, F.lit(HASHTAG))
-    return F.struct(
-        n.alias("token_count"),
-        F.size(F.array_distinct(tokens)).alias("unique_token_count"),
-        runs["best"].alias("max_token_frequency"),
-        (runs["best"] / F.greatest(n, F.lit(1))).alias("max_token_ratio"),
-        runs["thrice"].alias("repeated_token_count_over_2"),
-        hashtags.alias("hashtag_count"),
-        exclamations(text).alias("exclamation_count"),
-        (hashtags / F.greatest(F.length(text), F.lit(1))).alias("hashtag_density_chars"),
-        (hashtags / F.greatest(n, F.lit(1))).alias("hashtag_density_tokens"),
-    )
+        return F.transform(
+            F.array(run),
+            lambda r: F.struct(
+                token.alias("last"), r.alias("run"), F.greatest(acc["best"], r).alias("best"), (acc["thrice"] + F.when(r == 3, 1).otherwise(0)).alias("thrice"), (acc["kinds"] + F.when(r == 1, 1).otherwise(0)).alias("kinds"), (acc["n"] + 1).alias("n")
+            ),
+        )[0]
+
+    zero = F.lit(0)
+    start = F.struct(F.lit("").alias("last"), zero.alias("run"), zero.alias("best"), zero.alias("thrice"), zero.alias("kinds"), zero.alias("n"))
+    parts = F.struct(F.aggregate(F.array_sort(tokens), start, step).alias("runs"), F.regexp_count(text, F.lit(HASHTAG)).alias("tags"), exclamations(text).alias("loud"), F.length(text).alias("size"))
+    return F.transform(
+        F.array(parts),
+        lambda p: F.struct(
+            p["runs"]["n"].alias("token_count"),
+            p["runs"]["kinds"].alias("unique_token_count"),
+            p["runs"]["best"].alias("max_token_frequency"),
+            (p["runs"]["best"] / F.greatest(p["runs"]["n"], F.lit(1))).alias("max_token_ratio"),
+            p["runs"]["thrice"].alias("repeated_token_count_over_2"),
+            p["tags"].alias("hashtag_count"),
+            p["loud"].alias("exclamation_count"),
+            (p["tags"] / F.greatest(p["size"], F.lit(1))).alias("hashtag_density_chars"),
+            (p["tags"] / F.greatest(p["runs"]["n"], F.lit(1))).alias("hashtag_density_tokens"),
+        ),
+    )[0]
 
 
 def exclamations(x: Column) -> Column:
@@ -119,17 +129,24 @@ def domain_parts(x: Column) -> Column:
     link = F.when(value.contains("://"), value).otherwise(F.concat(F.lit("https://"), value))
     found = F.regexp_extract(link, _AUTHORITY, 1)
     host = F.regexp_replace(F.lower(F.when(found != "", found).otherwise(value)), r"^\.+|\.+$", "")
-    host = F.when(host != "", host)
-    labels = F.filter(F.split(host, r"\."), lambda p: p != "")
-    n = F.size(labels)
-    two = F.array_join(F.slice(labels, -2, 2), ".")
-    keep = F.when(two.isin(*TWO_PART_SUFFIXES) & (n >= 3), 3).otherwise(2)
-    rest = F.array_join(F.slice(labels, F.lit(1), F.greatest(n - keep, F.lit(0))), ".")
-    return F.struct(
-        host.alias("raw_url_domain"),
-        F.when(n < 2, host).when(n >= 2, F.array_join(F.slice(labels, F.greatest(n - keep, F.lit(0)) + 1, keep), ".")).alias("registered_domain"),
-        F.when((n >= 2) & (rest != ""), rest).alias("subdomain"),
-    )
+    # one-element arrays hold what several fields are made of, as in ``text_statistics``
+    labelled = F.transform(F.array(host), lambda h: F.struct(F.nullif(h, F.lit("")).alias("host"), F.filter(F.split(h, r"\."), lambda p: p != "").alias("labels")))
+
+    def fields(p: Column) -> Column:
+        labels = p["labels"]
+        n = F.size(labels)
+        keep = F.when(F.array_join(F.slice(labels, -2, 2), ".").isin(*TWO_PART_SUFFIXES) & (n >= 3), 3).otherwise(2)
+        rest = F.array_join(F.slice(labels, F.lit(1), F.greatest(n - keep, F.lit(0))), ".")
+        return F.when(
+            p["host"].isNotNull(),
+            F.struct(
+                p["host"].alias("raw_url_domain"),
+                F.when(n < 2, p["host"]).otherwise(F.array_join(F.slice(labels, F.greatest(n - keep, F.lit(0)) + 1, keep), ".")).alias("registered_domain"),
+                F.when((n >= 2) & (rest != ""), rest).alias("subdomain"),
+            ),
+        )
+
+    return F.transform(labelled, fields)[0]
 
 
 def text_hash(x: Column) -> Column:

@@ -65,9 +65,13 @@ def clean_messages(raw: DataFrame, config: dict[str, Any], scorer: Scorer | None
 
 
 def drop_duplicates(clean: DataFrame) -> DataFrame:
-    """Of rows equal in text, author, time and link, the first; nulls equal one another."""
-    first = F.row_number().over(Window.partitionBy("original_text", "author_hash", "date", "url").orderBy("message_id"))
-    return clean.withColumn("_n", first).where("_n = 1").drop("_n")
+    """Of rows equal in text, author, time and link, the first; nulls equal one another.
+
+    Rows are sorted by a hash of the four first, so that texts are compared only where that is equal.
+    """
+    keys = ("original_text", "author_hash", "date", "url")
+    first = F.row_number().over(Window.partitionBy("_h", *keys).orderBy("message_id"))
+    return clean.withColumn("_h", F.xxhash64(*keys)).withColumn("_n", first).where("_n = 1").drop("_n", "_h")
 
 
 def language_counts(raw: DataFrame) -> DataFrame:

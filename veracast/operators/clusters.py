@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def text_clusters(clean: DataFrame) -> DataFrame:
-    """Rows and distinct known authors of each text. Missing texts form one cluster.
+def text_cluster_counts(clean: DataFrame) -> DataFrame:
+    """Rows and distinct known authors of each text, by its hash. Missing texts form one cluster.
 
     Counting goes by (text, author) first, so a text with very many rows is summed up before it meets in one place.
     """
-    by_author = clean.groupBy("text_hash", "author_hash").agg(F.min("normalized_text").alias("t"), F.count("*").alias("n"))
-    return by_author.groupBy("text_hash").agg(F.min("t").alias("normalized_text"), F.sum("n").alias("repeat_count"), F.count("author_hash").alias("unique_author_count"))
+    by_author = clean.groupBy("text_hash", "author_hash").agg(F.count("*").alias("n"))
+    return by_author.groupBy("text_hash").agg(F.sum("n").alias("repeat_count"), F.count("author_hash").alias("unique_author_count"))
+
+
+def text_clusters(clean: DataFrame) -> DataFrame:
+    """``text_cluster_counts`` with each cluster's text, which no aggregate carries: one row a hash goes through the exchange."""
+    first = F.row_number().over(Window.partitionBy("text_hash").orderBy("message_id"))
+    texts = clean.select("text_hash", "message_id", "normalized_text").withColumn("_n", first).where("_n = 1").select("text_hash", "normalized_text")
+    return text_cluster_counts(clean).join(texts, "text_hash").select("text_hash", "normalized_text", "repeat_count", "unique_author_count")
 
 
 def text_window_clusters(clean: DataFrame) -> DataFrame:

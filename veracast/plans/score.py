@@ -47,7 +47,7 @@ def cluster_messages(store: DataFrame, text: DataFrame, windows: DataFrame, conf
 def score_store(store: DataFrame, config: dict[str, Any], text: DataFrame | None = None, windows: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lazily) -> Scored:
     """Scores of clean messages. ``keep`` is given each table that several others read (``materialize`` stores them). With ``refs_mode`` "quantile" ranges come from quantiles over all messages."""
     store = keep(store, "messages")
-    text = keep(clusters.text_clusters(store), "text-clusters") if text is None else text
+    text = keep(clusters.text_cluster_counts(store), "text-clusters") if text is None else text
     windows = keep(clusters.text_window_clusters(store), "window-clusters") if windows is None else windows
     features = keep(authors.author_features(store, text), "author-features")
     refs = keep(authors.author_refs(features), "author-refs")

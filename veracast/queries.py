@@ -20,14 +20,14 @@ from .sources.messages import table_rows_as_messages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: The driver's texts are in compatibility form already, which SQL cannot compute; clean_text shows the function itself.
-CONFIG = make_config({"runtime": {"nfkc": False}})
+#: The defaults; SQL has no compatibility form, which the driver's texts are in already.
+CONFIG = make_config()
 #: A day's window and a low hourly limit, so that the time rules fire on this data.
-DAY = make_config({"runtime": {"nfkc": False}, "thresholds": {"hard_bot_time_window_sec": 86_400, "hard_hourly_bot_threshold": 5}})
+DAY = make_config({"thresholds": {"hard_bot_time_window_sec": 86_400, "hard_hourly_bot_threshold": 5}})
 #: No floor, a made-up semantic score and supported languages, so that every weight shows.
-SEMANTIC = make_config({"runtime": {"nfkc": False}, "dominant_signal_policy": {"enabled": False}, "semantic_adapter": {"supported_languages": ["all"]}})
+SEMANTIC = make_config({"dominant_signal_policy": {"enabled": False}, "semantic_adapter": {"supported_languages": ["all"]}})
 #: Ranges from quantiles over all messages, and missing texts in no cluster.
-QUANTILE = make_config({"runtime": {"nfkc": False, "refs_mode": "quantile", "null_text_mode": "ignore"}, "dominant_signal_policy": {"enabled": False}})
+QUANTILE = make_config({"runtime": {"refs_mode": "quantile", "null_text_mode": "ignore"}, "dominant_signal_policy": {"enabled": False}})
 STUB = ExpressionScorer(lambda: F.pmod(F.col("message_id"), F.lit(101)) / 100.0)
 
 
@@ -105,7 +105,7 @@ def token_repetition(spark, sf_dir):
 @query
 def semantic_text(spark, sf_dir):
     df = _messages(spark, sf_dir)
-    return df.select("message_id", X.semantic_input(X.normalized(F.col("original_text"), False)).alias("semantic_text"))
+    return df.select("message_id", X.semantic_input(X.normalized(F.col("original_text"))).alias("semantic_text"))
 
 
 @query
@@ -115,7 +115,7 @@ def domain_parts(spark, sf_dir):
 
 @query
 def text_hash(spark, sf_dir):
-    return _messages(spark, sf_dir).select("message_id", X.text_hash(X.normalized(F.col("original_text"), False)).alias("text_hash"))
+    return _messages(spark, sf_dir).select("message_id", X.text_hash(X.normalized(F.col("original_text"))).alias("text_hash"))
 
 
 @query
@@ -440,7 +440,7 @@ def score_single(spark, sf_dir):
 
 @query
 def score_single_with_history(spark, sf_dir):
-    return score_with_history(spark.sql(NEW_MESSAGES), _messages(spark, sf_dir), make_config({"runtime": {"nfkc": False, "refs_mode": "quantile"}}))
+    return score_with_history(spark.sql(NEW_MESSAGES), _messages(spark, sf_dir), make_config({"runtime": {"refs_mode": "quantile"}}))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
