@@ -1,6 +1,7 @@
 """Operators, stored runs and single messages."""
 
 import json
+from importlib.util import find_spec
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,11 +9,11 @@ from pyspark.sql import functions as F
 from veracast import schema
 from veracast.config import DEFAULTS, PRESETS, canonical_hash, deep_merge, load_config, make_config, semantic_settings, store_config, write_default_config
 from veracast.operators import authors, clean, clusters, fuse, messages, reports
-from veracast.operators.semantic import ModelScorer, check_model_name, pick_device
+from veracast.operators.semantic import ModelScorer, NeutralScorer, check_model_name, pick_device, scorer_for
 from veracast.plans.artifacts import Run
 from veracast.plans.score import clean_store, score_store
 from veracast.plans.single import explain_messages, score_with_history
-from veracast.sources.messages import single_message
+from veracast.sources.messages import row_limit, single_message
 from veracast.streaming.incremental import score_stream, window_clusters
 
 CONFIG = make_config({"semantic_adapter": {"enabled": False}})
@@ -43,6 +44,14 @@ def test_config(tmp_path):
     assert set(PRESETS) == {"full_build", "model_test", "demo"} and make_config(preset="demo")["runtime"]["sample_n_rows"] == 5000
     assert canonical_hash({"b": 1, "a": "é"}) == canonical_hash({"a": "é", "b": 1})
     assert canonical_hash(store_config(CONFIG)) != canonical_hash(store_config(deep_merge(CONFIG, {"thresholds": {"min_text_len": 6}})))
+    named = make_config({"paths": {"input_parquet": "x", "clean_output_parquet": "y"}, "weights": {"author_components": {"activity": 0.5}}, "derived_thresholds": {"hourly_hard_knee": 7}})
+    assert named["paths"]["input"] == "x" and "clean_output_parquet" not in named["paths"] and named["weights"]["author"]["activity"] == 0.5 and named["weights"]["author"]["timing"] == 0.25
+    for wrong in ({"thresholds": {"min_text_length": 4}}, {"threshold": {}}, {"weights": {"author": {"mood": 1}}}):
+        with pytest.raises(KeyError):
+            make_config(wrong)
+    with pytest.raises(TypeError):
+        make_config({"weights": {"author": 1}})
+    assert [row_limit(DEFAULTS["runtime"] | x) for x in ({}, {"sample_n_rows": 7}, {"max_batches": 2, "batch_size": 3}, {"max_batches": 2, "batch_size": 3, "sample_n_rows": 5})] == [None, 7, 6, 5]
     with pytest.raises(KeyError):
         semantic_settings(make_config({"semantic_adapter": {"models": {"a": {}}, "selected_model_key": "b"}}))
     with pytest.raises(ValueError):
@@ -137,6 +146,31 @@ def test_model_scorer(spark):
     assert [(r.roberta_score, r.semantic_model_applied_flag) for r in rows] == [(0.05, 1), (0.5, 0), (0.5, 0)]
 
 
+def test_a_named_model_scores_or_raises(spark, tmp_path):
+    source = str(tmp_path / "in")
+    raw(spark, ROWS).write.parquet(source)
+    (tmp_path / "stub_model.py").write_text("def lengths(settings):\n    return lambda texts: [len(t) / 100 for t in texts]\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "stub_model.py"))  # as users ship their loaders
+    paths = {"input": source} | {k: str(tmp_path / k) for k in ("store", "author_scores", "scored_messages", "manifest")}
+    config = make_config({"paths": paths, "runtime": {"sample_n_rows": 12}, "semantic_adapter": {"model_name": "stub", "loader": "stub_model:lengths"}})
+    built = Run(spark, config).build()
+    rows = spark.read.parquet(str(tmp_path / "store" / "cleaned_messages")).orderBy("message_id").collect()
+    assert [r.message_id for r in rows] == list(range(12)) and all(r.roberta_score == pytest.approx(len("text number of many words") / 100) and r.semantic_model_applied_flag == 1 for r in rows)
+    s = built["summary"].first()
+    assert (s.raw_rows, s.clean_rows, s.semantic_applied_rows) == (12, 12, 12)
+    with pytest.raises(ValueError):
+        scorer_for(make_config({"semantic_adapter": {"model_name": "xlm-roberta-base"}}))
+    if find_spec("torch") is None:
+        with pytest.raises(ImportError):
+            clean_store(raw(spark, ROWS), make_config({"semantic_adapter": {"model_name": "some/model"}}))
+    assert isinstance(scorer_for(make_config({"semantic_adapter": {"enabled": False, "model_name": "some/model"}})), NeutralScorer)
+
+
+def test_derived_thresholds(spark):
+    assert [tuple(r) for r in reports.derived_thresholds(spark, make_config({"derived_thresholds": {"b": 2, "a": 1.5}})).collect()] == [("a", "1.5"), ("b", "2")]
+    assert reports.derived_thresholds(spark, CONFIG).count() == 0
+
+
 def test_stored_runs(spark, tmp_path):
     source = str(tmp_path / "in")
     raw(spark, ROWS).write.parquet(source)
@@ -146,7 +180,7 @@ def test_stored_runs(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         run.validate()
     built = run.build()
-    assert set(built["tables"]) >= {"summary", "top_domains", "score_bands", "keyword_validation"} and built["summary"].first().clean_rows == len(ROWS)
+    assert len(built["tables"]) == 14 and set(built["tables"]) >= {"summary", "derived_thresholds", "top_domains", "score_bands", "keyword_validation"} and built["summary"].first().clean_rows == len(ROWS)
     assert tuple(built["scored"].columns) == schema.SCORED_COLUMNS
     before = sorted(tuple(r) for r in built["scored"].select("message_id", "final_score").collect())
     again = run.rescore()

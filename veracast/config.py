@@ -39,6 +39,7 @@ DEFAULTS: dict[str, Any] = {
     "semantic_adapter": {
         "enabled": True,
         "model_name": None,
+        "loader": None,
         "supported_languages": ["en"],
         "unsupported_language_score": 0.5,
         "max_length": 512,
@@ -70,6 +71,7 @@ DEFAULTS: dict[str, Any] = {
         "repeat_hard_threshold": 5,
         "scope": {"author": True, "message": True},
     },
+    "derived_thresholds": {},
     "weights": {
         "behavioral_vs_semantic": {"behavioral": 0.60, "semantic": 0.40},
         "author_vs_message": {"author": 0.70, "message": 0.30},
@@ -85,7 +87,23 @@ DEFAULTS: dict[str, Any] = {
     },
 }
 
-#: Overrides by name: a run over everything, a bounded trial with the model, a small one without.
+#: Further names that settings files use, and ours (None: accepted, and of no use here).
+ALIASES: dict[tuple[str, str], str | None] = {
+    ("paths", "input_parquet"): "input",
+    ("paths", "batch_sqlite_db"): "store",
+    ("paths", "author_scores_parquet"): "author_scores",
+    ("paths", "scored_messages_parquet"): "scored_messages",
+    ("paths", "manifest_path"): "manifest",
+    ("paths", "clean_output_parquet"): None,
+    ("paths", "author_feature_stage_parquet"): None,
+    ("weights", "author_components"): "author",
+    ("weights", "message_components"): "message",
+}
+#: Settings that hold names of the user's own, or have no default.
+_OPEN = {("derived_thresholds",), ("semantic_adapter", "models")}
+_OPTIONAL = {("semantic_adapter", "models"), ("semantic_adapter", "selected_model_key")}
+
+#: Overrides by name: a run over everything, a bounded trial with the model, a small one without.
 PRESETS: dict[str, dict[str, Any]] = {
     "full_build": {"runtime": {"mode": "full", "sample_n_rows": None, "max_batches": None}},
     "model_test": {"runtime": {"mode": "sample", "sample_n_rows": 200_000, "max_batches": 2}, "semantic_adapter": {"enabled": True}},
@@ -101,9 +119,39 @@ def deep_merge(base: dict[str, Any], override: dict[str, Any]) -> dict[str, Any]
     return out
 
 
+def settled(override: dict[str, Any]) -> dict[str, Any]:
+    """``override`` under our names; KeyError for a setting that there is not."""
+    out: dict[str, Any] = {}
+    for section, values in override.items():
+        if not isinstance(values, dict):
+            out[section] = values
+            continue
+        out[section] = {}
+        for name, value in values.items():
+            ours = ALIASES.get((section, name), name)
+            if ours is not None:
+                out[section][ours] = value
+    _check(out, DEFAULTS, ())
+    return out
+
+
+def _check(override: dict[str, Any], known: dict[str, Any], at: tuple[str, ...]) -> None:
+    for name, value in override.items():
+        path = (*at, name)
+        if path in _OPEN or path in _OPTIONAL:
+            continue
+        if name not in known:
+            raise KeyError(f"there is no setting {'.'.join(path)}")
+        if isinstance(known[name], dict):
+            if not isinstance(value, dict):
+                raise TypeError(f"{'.'.join(path)} is a section")
+            _check(value, known[name], path)
+
+
 def make_config(override: dict[str, Any] | None = None, preset: str | None = None) -> dict[str, Any]:
+    """The defaults with a preset and then ``override`` laid over them; unknown settings raise."""
     base = deep_merge(DEFAULTS, PRESETS[preset]) if preset else DEFAULTS
-    return deep_merge(base, override or {})
+    return deep_merge(base, settled(override or {}))
 
 
 def load_config(path: str | Path | None = None) -> dict[str, Any]:
@@ -133,6 +181,7 @@ def canonical_hash(value: Any) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=True, separators=(",", ":")).encode()).hexdigest()
 
 
+#: The thresholds that the store depends on.
 _STORE_THRESHOLDS = ("min_text_len", "rare_language_threshold", "long_text_start", "hard_bot_time_window_sec")
 
 

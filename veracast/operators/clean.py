@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import RAW_MESSAGE
-from .semantic import NeutralScorer, Scorer
+from .semantic import Scorer, scorer_for
 
 
 def with_message_id(raw: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def clean_messages(raw: DataFrame, config: dict[str, Any], scorer: Scorer | None
         df = df.join(seldom, F.col("language") == F.col("rare_name"), "left").drop("rare_name").withColumn("is_rare_language", F.coalesce("rare_flag", F.lit(0).cast("byte"))).drop("rare_flag")
     else:
         df = df.withColumn("is_rare_language", F.lit(0).cast("byte"))
-    return (scorer or NeutralScorer()).apply(df, config)
+    return (scorer or scorer_for(config)).apply(df, config)
 
 
 def drop_duplicates(clean: DataFrame) -> DataFrame:

@@ -17,11 +17,15 @@ def text_cluster_counts(clean: DataFrame) -> DataFrame:
     return by_author.groupBy("text_hash").agg(F.sum("n").alias("repeat_count"), F.count("author_hash").alias("unique_author_count"))
 
 
-def text_clusters(clean: DataFrame) -> DataFrame:
-    """``text_cluster_counts`` with each cluster's text, which no aggregate carries: one row a hash goes through the exchange."""
+def with_texts(counts: DataFrame, clean: DataFrame) -> DataFrame:
+    """Cluster counts with each cluster's text, which no aggregate carries: one row a hash goes through the exchange."""
     first = F.row_number().over(Window.partitionBy("text_hash").orderBy("message_id"))
     texts = clean.select("text_hash", "message_id", "normalized_text").withColumn("_n", first).where("_n = 1").select("text_hash", "normalized_text")
-    return text_cluster_counts(clean).join(texts, "text_hash").select("text_hash", "normalized_text", "repeat_count", "unique_author_count")
+    return counts.join(texts, "text_hash").select("text_hash", "normalized_text", "repeat_count", "unique_author_count")
+
+
+def text_clusters(clean: DataFrame) -> DataFrame:
+    return with_texts(text_cluster_counts(clean), clean)
 
 
 def text_window_clusters(clean: DataFrame) -> DataFrame:

@@ -140,9 +140,15 @@ def qa_tables(clean: DataFrame, scores: DataFrame, scored: DataFrame, summary: D
         "semantic_adapter_summary": semantic_summary(clean),
         "hashtag_spam_examples": spam_examples(scored, "hashtag_spam_component"),
         "token_spam_examples": spam_examples(scored, "token_repetition_component"),
+        "derived_thresholds": derived_thresholds(clean.sparkSession, config),
     }
 
 
+def derived_thresholds(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
+    """Name and value of each derived threshold, by name; no row without any."""
+    return spark.createDataFrame([(k, str(v)) for k, v in sorted(config.get("derived_thresholds", {}).items())], "threshold string, value string")
+
+
 def manifest_table(spark: SparkSession, manifest: dict[str, Any]) -> DataFrame:
     fields = ("pipeline_version", "store_schema_version", "score_schema_version", "store_schema_fingerprint", "score_schema_fingerprint", "created_at", "last_rescore_at", "config_hash_for_store", "config_hash_for_scoring")
     rows = [(f, None if manifest.get(f) is None else str(manifest[f])) for f in fields]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from importlib import import_module
+from importlib.util import find_spec
 from typing import Any, Protocol
 
 import pandas as pd
@@ -74,6 +76,24 @@ class ModelScorer:
         return df.withColumn("_score", score).withColumns({"roberta_score": F.coalesce("_score", F.lit(float(settings["unsupported_language_score"]))), "semantic_model_applied_flag": F.col("_score").isNotNull().cast("byte")}).drop("_score")
 
 
+def scorer_for(config: dict[str, Any]) -> Scorer:
+    """The scorer that the settings ask for: a model where one is named and enabled, else a neutral one.
+
+    ``loader`` may name another function than ``transformer_loader``, as "module:function".
+    """
+    settings = semantic_settings(config)
+    if not settings["enabled"] or not settings.get("model_name"):
+        return NeutralScorer()
+    check_model_name(settings)
+    if settings.get("loader"):
+        module, _, name = settings["loader"].partition(":")
+        return ModelScorer(getattr(import_module(module), name))
+    absent = [m for m in ("torch", "transformers") if find_spec(m) is None]
+    if absent:
+        raise ImportError(f"{settings['model_name']} needs {', '.join(absent)}; install them, name a loader or set semantic_adapter.enabled to false")
+    return ModelScorer(transformer_loader)
+
+
 def check_model_name(settings: dict[str, Any]) -> None:
     name = str(settings.get("model_name") or settings.get("selected_model_key") or "")
     if name in UNTRAINED_MODELS:

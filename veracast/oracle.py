@@ -295,6 +295,7 @@ SQL: dict[str, str] = {
     "hourly_penalty_curve": sql(f"SELECT posts, {r6(penalty('posts', 10.0, 'top'), 'penalty')} FROM (SELECT max(max_posts_one_hour) AS top FROM features), LATERAL (SELECT unnest(range(1, CAST(top AS BIGINT) + 1)) AS posts)", "features"),
     "hourly_histogram": _hist("max_posts_one_hour", 40),
     "theme_histogram": _hist("theme_nunique", 30),
+    "sentiment_histogram": f"SELECT bin, n FROM ({_hist('sentiment_std', 30)})",
     "hashtag_spam_examples": sql(f"SELECT message_id, {r6('s.hashtag_spam_component')}, {r6('final_score')} FROM scored s ORDER BY s.hashtag_spam_component DESC, message_id LIMIT 20", "scored", SEMANTIC),
     "token_spam_examples": sql(f"SELECT message_id, {r6('s.token_repetition_component')}, {r6('final_score')} FROM scored s ORDER BY s.token_repetition_component DESC, message_id LIMIT 20", "scored", SEMANTIC),
     "hard_bot_examples": sql(f"SELECT message_id, author_hash, {', '.join(COUNTS)}, hard_same_text_repeat_flag, {r6('final_score')} FROM scored WHERE hard_bot_cluster_flag = 1 OR hard_same_text_repeat_flag = 1 ORDER BY message_id LIMIT 50", "scored", DAY),

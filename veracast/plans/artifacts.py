@@ -14,8 +14,9 @@ from .. import schema
 from ..config import canonical_hash, scoring_config, store_config
 from ..operators import clean, reports
 from ..operators.semantic import Scorer
-from ..sources.messages import path_exists, scan_messages, write_table
-from .score import Scored, clean_store, cluster_messages, score_store
+from ..sources.messages import path_exists, row_limit, scan_messages, write_table
+from .materialize import materialize
+from .score import Scored, clean_rows, cluster_messages, deduplicated, score_store
 
 log = logging.getLogger("veracast")
 
@@ -74,13 +75,13 @@ class Run:
     def build_store(self, scorer: Scorer | None = None) -> DataFrame:
         """Cleans the input and writes the store's tables; returns the summary."""
         self.say("STORE", "cleaning messages")
-        limit = self.config["runtime"]["sample_n_rows"]
-        raw = clean.with_message_id(scan_messages(self.spark, self.paths["input"], limit))
-        store = clean_store(raw, self.config, scorer)
+        raw = clean.with_message_id(scan_messages(self.spark, self.paths["input"], row_limit(self.config["runtime"])))
+        # written before rows are dropped, so that the summary of all rows costs no second cleaning (and a model no second pass)
+        rows = materialize(clean_rows(raw, self.config, scorer), "clean-rows")
         columns = ["message_id", *schema.store_columns(self.config["runtime"]["build_mode"])]
-        write_table(store.select(columns), self.table("cleaned_messages"), self.overwrite)
+        write_table(deduplicated(rows, self.config).select(columns), self.table("cleaned_messages"), self.overwrite)
         self.build_clusters()
-        return clean.clean_summary(clean.clean_messages(raw, self.config, scorer), self.read(self.table("cleaned_messages")))
+        return clean.clean_summary(rows, self.read(self.table("cleaned_messages")))
 
     def build_clusters(self) -> None:
         from ..operators.clusters import text_clusters, text_window_clusters
@@ -94,13 +95,14 @@ class Run:
         """Writes author and message scores from the store; returns the stored tables."""
         self.say("SCORES", "authors, then messages")
         store, text, windows = (self.read(self.table(t)) for t in schema.STORE_TABLES)
-        plan = score_store(store, self.config, text, windows)
+        keep = lambda df, name: materialize(df, name) if name in ("author-features", "message-refs") else df
+        plan = score_store(store, self.config, text, windows, keep)
         write_table(plan.author_scores, self.paths["author_scores"], self.overwrite)
         # message scores read the authors' table rather than computing it again
         from .score import score_messages
 
         scores = self.read(self.paths["author_scores"])
-        scored = score_messages(cluster_messages(store, text, windows, self.config), scores, plan.message_refs, self.config)
+        scored = materialize(score_messages(cluster_messages(store, text, windows, self.config), scores, plan.message_refs, self.config), "scored")
         write_table(scored.select(*schema.SCORED_COLUMNS), self.paths["scored_messages"], self.overwrite)
         plan.author_scores, plan.scored = scores, scored
         return plan

@@ -29,12 +29,20 @@ class Scored:
     scored: DataFrame
 
 
-def clean_store(raw: DataFrame, config: dict[str, Any], scorer: Scorer | None = None) -> DataFrame:
-    """Clean, deduplicated messages."""
+def clean_rows(raw: DataFrame, config: dict[str, Any], scorer: Scorer | None = None) -> DataFrame:
+    """Every raw message cleaned."""
     rows = clean.with_message_id(raw)
     rare = clean.rare_languages(rows, config) if config["runtime"]["refs_mode"] == "quantile" else None
-    done = clean.clean_messages(rows, config, scorer, rare)
-    return done if config["runtime"]["dedup_scope"] == "none" else clean.drop_duplicates(done)
+    return clean.clean_messages(rows, config, scorer, rare)
+
+
+def deduplicated(rows: DataFrame, config: dict[str, Any]) -> DataFrame:
+    return rows if config["runtime"]["dedup_scope"] == "none" else clean.drop_duplicates(rows)
+
+
+def clean_store(raw: DataFrame, config: dict[str, Any], scorer: Scorer | None = None) -> DataFrame:
+    """Clean, deduplicated messages."""
+    return deduplicated(clean_rows(raw, config, scorer), config)
 
 
 def cluster_messages(store: DataFrame, text: DataFrame, windows: DataFrame, config: dict[str, Any]) -> DataFrame:
@@ -47,14 +55,15 @@ def cluster_messages(store: DataFrame, text: DataFrame, windows: DataFrame, conf
 def score_store(store: DataFrame, config: dict[str, Any], text: DataFrame | None = None, windows: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lazily) -> Scored:
     """Scores of clean messages. ``keep`` is given each table that several others read (``materialize`` stores them). With ``refs_mode`` "quantile" ranges come from quantiles over all messages."""
     store = keep(store, "messages")
-    text = keep(clusters.text_cluster_counts(store), "text-clusters") if text is None else text
+    counts = keep(clusters.text_cluster_counts(store), "text-clusters") if text is None else text
+    text = clusters.with_texts(counts, store) if text is None else text
     windows = keep(clusters.text_window_clusters(store), "window-clusters") if windows is None else windows
-    features = keep(authors.author_features(store, text), "author-features")
+    features = keep(authors.author_features(store, counts), "author-features")
     refs = keep(authors.author_refs(features), "author-refs")
     scores = keep(authors.author_scores(features, refs, config), "author-scores")
-    clustered = cluster_messages(store, text, windows, config)
+    clustered = cluster_messages(store, counts, windows, config)
     by_quantile = config["runtime"]["refs_mode"] == "quantile"
-    message_refs = keep(messages.message_refs_quantile(clustered, config) if by_quantile else messages.message_refs(store, text, windows, config), "message-refs")
+    message_refs = keep(messages.message_refs_quantile(clustered, config) if by_quantile else messages.message_refs(store, counts, windows, config), "message-refs")
     return Scored(store, text, windows, features, refs, scores, message_refs, keep(score_messages(clustered, scores, message_refs, config), "scored"))
 
 

@@ -409,6 +409,11 @@ def theme_histogram(spark, sf_dir):
     return reports.histogram(_run(spark, sf_dir).author_scores, "theme_nunique", 30)
 
 
+@query
+def sentiment_histogram(spark, sf_dir):
+    return reports.histogram(_run(spark, sf_dir).author_scores, "sentiment_std", 30).select("bin", "n")
+
+
 @query
 def hashtag_spam_examples(spark, sf_dir):
     return reports.spam_examples(_run(spark, sf_dir, SEMANTIC).scored, "hashtag_spam_component").select("message_id", "hashtag_spam_component", "final_score")

@@ -59,8 +59,10 @@ LEAN_COLUMNS = (
     "is_long_text_flag",
     "is_empty_text",
 )
+#: Further columns of a debug store.
 DEBUG_COLUMNS = ("english_keywords_clean", "main_emotion", "url", "raw_url_domain", "subdomain")
 
+#: Columns that a store must have.
 REQUIRED_STORE = (
     "message_id",
     "original_text",
@@ -84,7 +86,9 @@ REQUIRED_STORE = (
     "is_long_text_flag",
 )
 STORE_TABLES = ("cleaned_messages", "text_clusters", "text_window_clusters")
+#: Columns that author scores must have.
 REQUIRED_AUTHOR_SCORES = ("author_hash", "author_score", "author_hard_hourly_flag", "max_posts_one_hour", "language_nunique", "theme_nunique", "sentiment_std", "median_interpost_sec")
+#: Columns of scored messages, in order.
 SCORED_COLUMNS = (
     "message_id",
     "author_hash",
@@ -113,6 +117,7 @@ SCORED_COLUMNS = (
     "final_score",
 )
 REQUIRED_SCORED = tuple(c for c in SCORED_COLUMNS if c not in ("normalized_text", "exclamation_count"))
+#: Columns of an explained message, in order.
 EXPLANATION_COLUMNS = (
     "author_type",
     "message_score",

@@ -11,9 +11,20 @@ from ..schema import RAW_MESSAGE
 
 
 def scan_messages(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Raw messages of Parquet files; the columns that are used are read, no others. ``limit`` keeps the first rows read."""
+    """Raw messages of Parquet files; the columns that are used are read, no others. ``limit`` keeps the first rows in the order of
+    the files, which then are numbered by it."""
     df = spark.read.parquet(path)
-    return df if limit is None else df.limit(limit)
+    if limit is None:
+        return df
+    df = df if "message_id" in df.columns else df.withColumn("message_id", F.monotonically_increasing_id())
+    return df.orderBy("message_id").limit(limit)
+
+
+def row_limit(runtime: dict[str, Any]) -> int | None:
+    """How many rows a run reads at most: the sample's, and no more than ``max_batches`` batches."""
+    batches = runtime["max_batches"]
+    limits = [n for n in (runtime["sample_n_rows"], batches and batches * runtime["batch_size"]) if n is not None]
+    return min(limits, default=None)
 
 
 def parquet_columns(spark: SparkSession, path: str) -> list[str]:
