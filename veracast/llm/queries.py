@@ -95,5 +95,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontaminate, op2_pack_sequences, op3_simhash_components, op4_score_quality, op5_identify_language, op6_remove_repeats, op7_personal_data, op8_nearest_vectors, op9_language_model, op10_count_tokens)}
 
 
+#: Words, windows of 13 of them (an item of fewer is one window), and the places in documents where a window occurs.
+_OP1 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[k : k + least(len(w), 13) - 1], ' ') AS words FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT r, n, k, array_to_string(w[k : k + n - 1], ' ') AS words FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT r, k, n, item FROM places JOIN windows USING (n, words)),
+covered AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM (SELECT DISTINCT r, k, n FROM hits)) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)"""
+
+#: Bytes as two hexadecimal digits each, so that windows of bytes are windows of digits; pieces of 500 windows, so that none is far from its start.
+_OP6 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+pieces AS (SELECT r, doc_id, c, substring(x, 1000 * c + 1, 1098) AS y FROM (SELECT r, doc_id, x, unnest(range(0, CAST(len(x) // 1000 AS BIGINT) + 1)) AS c FROM d WHERE len(x) >= 100 AND doc_id IS NOT NULL)),
+w AS (SELECT r, doc_id, 500 * c + k AS k, md5_number(substring(y, 2 * k - 1, 100)) AS h FROM (SELECT r, doc_id, c, y, unnest(range(1, CAST(len(y) // 2 AS BIGINT) - 48)) AS k FROM pieces WHERE len(y) >= 100)),
+least AS (SELECT h, min(doc_id) AS first FROM w GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT r, k FROM w JOIN least USING (h) WHERE first < doc_id),
+heads AS (SELECT r, k, k + 50 AS e, CASE WHEN k > max(k + 50) OVER (PARTITION BY r ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM gone),
+spans AS (SELECT r, min(k) AS a, max(e) AS e FROM (SELECT r, k, e, sum(new) OVER (PARTITION BY r ORDER BY k) AS g FROM heads) GROUP BY r, g),
+between AS (SELECT r, a, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY a), 1) AS before FROM spans),
+kept AS (SELECT r, count(*) AS n_spans, sum(e - a) AS n_removed, max(e) AS last, string_agg(substring(x, 2 * before - 1, 2 * (a - before)), '' ORDER BY a) AS head FROM between JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(CASE WHEN n_spans IS NULL THEN x ELSE head || substring(x, 2 * last - 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The same in SQL where that can say it: whole rows of two operators."""
+    return {"op1_decontaminate": _OP1, "op6_remove_repeats": _OP6}
