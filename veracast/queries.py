@@ -173,7 +173,7 @@ def rare_languages(spark, sf_dir):
 
 @query
 def text_clusters(spark, sf_dir):
-    return clusters.text_clusters(_store(spark, sf_dir))
+    return clusters.text_clusters(materialize(_store(spark, sf_dir), "messages"))  # read twice
 
 
 @query
