@@ -3,12 +3,13 @@
 import json
 from importlib.util import find_spec
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veracast import schema
 from veracast.config import DEFAULTS, PRESETS, canonical_hash, deep_merge, load_config, make_config, semantic_settings, store_config, write_default_config
-from veracast.operators import authors, clean, clusters, fuse, messages, reports
+from veracast.operators import authors, clean, clusters, fuse, messages, quantiles, reports
 from veracast.operators.semantic import ModelScorer, NeutralScorer, check_model_name, pick_device, scorer_for
 from veracast.plans.artifacts import Run
 from veracast.plans.score import clean_store, score_store
@@ -99,11 +100,29 @@ def test_gaps_across_days(spark):
     assert f["v"].mean_interpost_sec == float("inf") and f["u"].median_interpost_sec == 120.0 and f["v"].sentiment_std == 0.0
 
 
+def one_range(df):
+    return quantiles.column_quantiles(df, {"x": (0.05, 0.99)}).select(authors.quantile_range(F.col("x")).alias("x")).first().x
+
+
 def test_refs_of_nothing_and_of_a_constant(spark):
     empty = spark.createDataFrame([], "x double")
-    assert tuple(empty.agg(*authors.quantile_ranges(empty, {"x": (0.05, 0.99)})).first().x) == (0.0, 1.0)
+    assert tuple(one_range(empty)) == (0.0, 1.0)
     same = spark.createDataFrame([(3.0,), (3.0,), (float("inf"),)], "x double")
-    assert tuple(same.agg(*authors.quantile_ranges(same, {"x": (0.05, 0.99)})).first().x) == (3.0, 4.0)
+    assert tuple(one_range(same)) == (3.0, 4.0)
+
+
+def test_quantiles_are_those_of_sorted_values(spark):
+    rng = np.random.default_rng(5)
+    data = {"hot": np.concatenate([rng.normal(0, 50, 3000).round(1), rng.exponential(1e6, 2000), np.zeros(500)]), "two": np.array([-1.5, 4.0]), "one": np.array([7.25]), "same": np.full(40, -3.0), "near": 1 + rng.random(1000) * 1e-9}
+    ps = [0.0, 0.01, 0.1, 0.5, 0.95, 0.99, 1.0]
+    df = spark.createDataFrame([(k, float(x)) for k, xs in data.items() for x in xs], "key string, x double")
+    found = {(r.key, r.i): r.value for r in quantiles.grouped_quantiles(df, "key", F.array(*map(F.lit, ps))).collect()}
+    assert set(found) == {(k, i) for k in data for i in range(len(ps))}
+    for (k, i), value in found.items():
+        assert value == pytest.approx(np.quantile(data[k], ps[i]), rel=1e-12, abs=1e-12)
+    odd = spark.createDataFrame([(float("nan"), None), (float("inf"), None), (None, None), (1.0, None), (2.0, None)], "x double, y int")
+    row = quantiles.column_quantiles(odd, {"x": (0.0, 0.5), "y": (0.5,)}).first()
+    assert list(row.x) == [1.0, 1.5] and list(row.y) == [None]
 
 
 def test_no_known_author(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scale as S
+from .quantiles import column_quantiles, grouped_quantiles
 
 #: Features and the share of authors cut off at either end of their reference ranges.
 QUANTILE_FEATURES = {c: (0.05, 0.99) for c in ("posts_per_day", "posts_per_active_hour", "theme_nunique", "sentiment_std", "same_text_repeat_ratio", "same_text_repeat_max", "multi_author_repeat_ratio")} | {
@@ -67,9 +68,13 @@ def interpost_gaps(posts: DataFrame) -> DataFrame:
 def timing(posts: DataFrame) -> DataFrame:
     """Mean, median, tenth percentile, deviation and variation of the gaps of authors who have any."""
     gap = F.col("interpost_sec")
-    out = interpost_gaps(posts).groupBy("author_hash").agg((F.sum(F.round(gap * 1e6).cast("long")) / F.count(gap) / 1e6).alias("mean_interpost_sec"), F.percentile(gap, F.array(F.lit(0.5), F.lit(0.1))).alias("q"), F.stddev_samp(gap).alias("std_interpost_sec"))
+    gaps = interpost_gaps(posts)
+    out = gaps.groupBy("author_hash").agg((F.sum(F.round(gap * 1e6).cast("long")) / F.count(gap) / 1e6).alias("mean_interpost_sec"), F.stddev_samp(gap).alias("std_interpost_sec"))
+    found = grouped_quantiles(gaps.select("author_hash", gap.alias("x")), "author_hash", F.array(F.lit(0.5), F.lit(0.1)))
+    one = lambda i, name: F.max(F.when(F.col("i") == i, F.col("value"))).alias(name)
+    out = out.join(found.groupBy("author_hash").agg(one(0, "median_interpost_sec"), one(1, "p10_interpost_sec")), "author_hash")
     cv = F.col("std_interpost_sec") / F.when(F.col("mean_interpost_sec") != 0, F.col("mean_interpost_sec"))
-    return out.select("author_hash", "mean_interpost_sec", F.col("q")[0].alias("median_interpost_sec"), F.col("q")[1].alias("p10_interpost_sec"), "std_interpost_sec", cv.alias("interval_cv"))
+    return out.select("author_hash", "mean_interpost_sec", "median_interpost_sec", "p10_interpost_sec", "std_interpost_sec", cv.alias("interval_cv"))
 
 
 def repetition(posts: DataFrame) -> DataFrame:
@@ -96,22 +101,18 @@ def author_features(clean: DataFrame, clusters: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(c, never) for c in ("mean_interpost_sec", "median_interpost_sec", "p10_interpost_sec", "interval_cv")} | {c: F.coalesce(c, F.lit(0.0)) for c in ("same_text_repeat_ratio", "multi_author_repeat_ratio")} | {"same_text_repeat_max": F.coalesce("same_text_repeat_max", F.lit(0))})
 
 
-def quantile_ranges(df: DataFrame, features: dict[str, tuple[float, float]], prefix: str = "") -> list[Column]:
-    """For each feature an aggregate struct (lo, hi): quantiles of its finite values, (0, 1) of none, a range one wide at least."""
-    out = []
-    for name, (low, high) in features.items():
-        x = F.col(name).cast("double")
-        q = F.percentile(F.when(F.abs(x) < float("inf"), x), F.array(F.lit(low), F.lit(high)))
-        lo, hi = F.coalesce(q[0], F.lit(0.0)), F.coalesce(q[1], F.lit(1.0))
-        close = F.abs(hi - lo) <= 1e-8 + 1e-5 * F.abs(hi)
-        out.append(F.struct(lo.alias("lo"), F.when(close, lo + 1.0).otherwise(hi).alias("hi")).alias(prefix + name))
-    return out
+def quantile_range(q: Column) -> Column:
+    """A struct (lo, hi) of an array's first two quantiles, (0, 1) for none, a range one wide at least."""
+    lo, hi = F.coalesce(q[0], F.lit(0.0)), F.coalesce(q[1], F.lit(1.0))
+    close = F.abs(hi - lo) <= 1e-8 + 1e-5 * F.abs(hi)
+    return F.struct(lo.alias("lo"), F.when(close, lo + 1.0).otherwise(hi).alias("hi"))
 
 
 def author_refs(features: DataFrame) -> DataFrame:
-    """One row of reference ranges and maxima over all authors."""
-    tops = [F.coalesce(F.max(c).cast("double"), F.lit(1.0)).alias(f"{c}_max") for c in MAX_FEATURES]
-    return features.agg(*quantile_ranges(features, QUANTILE_FEATURES), *tops)
+    """One row of reference ranges and maxima (the last quantile) over all authors."""
+    found = column_quantiles(features, QUANTILE_FEATURES | {c: (1.0,) for c in MAX_FEATURES})
+    tops = [F.coalesce(F.col(c)[0], F.lit(1.0)).alias(f"{c}_max") for c in MAX_FEATURES]
+    return found.select(*(quantile_range(F.col(c)).alias(c) for c in QUANTILE_FEATURES), *tops)
 
 
 def author_scores(features: DataFrame, refs: DataFrame, config: dict[str, Any]) -> DataFrame:

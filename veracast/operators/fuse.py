@@ -12,8 +12,13 @@ from .messages import loud
 
 
 def attach_authors(messages: DataFrame, scores: DataFrame, unknown_score: float | None = None) -> DataFrame:
-    """Messages with author_score (null, or ``unknown_score``, for authors without one) and author_hard_hourly_flag (0)."""
-    df = messages.join(scores.select("author_hash", "author_score", "author_hard_hourly_flag"), "author_hash", "left")
+    """Messages with author_score (null, or ``unknown_score``, for authors without one) and author_hard_hourly_flag (0).
+
+    Messages without an author get a key of their own each, so that no task has to take them all.
+    """
+    own = F.when(F.col("author_hash").isNull(), F.concat(F.lit("message "), F.col("message_id").cast("string"))).otherwise(F.concat(F.lit("author "), F.col("author_hash")))
+    theirs = scores.select(F.concat(F.lit("author "), F.col("author_hash")).alias("_author_key"), "author_score", "author_hard_hourly_flag")
+    df = messages.withColumn("_author_key", own).join(theirs, "_author_key", "left").drop("_author_key")
     df = df.withColumn("author_hard_hourly_flag", F.coalesce("author_hard_hourly_flag", F.lit(0)).cast("byte"))
     return df if unknown_score is None else df.withColumn("author_score", F.coalesce("author_score", F.lit(float(unknown_score))))
 

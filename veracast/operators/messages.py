@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scale as S
-from .authors import quantile_ranges
+from .authors import quantile_range
+from .quantiles import column_quantiles
 
 COUNTS = ("same_text_repeat_count", "same_text_unique_author_count", "same_text_time_window_count")
 FEATURES = (*COUNTS, "hashtag_count", "hashtag_density_chars", "hashtag_density_tokens", "max_token_frequency", "max_token_ratio", "repeated_token_count_over_2", "keyword_count", "text_length_chars")
@@ -28,8 +29,9 @@ def message_refs(clean: DataFrame, clusters: DataFrame, windows: DataFrame, conf
 def message_refs_quantile(messages: DataFrame, config: dict[str, Any]) -> DataFrame:
     """One row of ranges from the 5 % to the 99 % quantile over clustered messages."""
     start = float(config["thresholds"]["long_text_start"])
-    excess = F.greatest(F.coalesce(F.max(F.col("text_length_chars") - start), F.lit(1.0)), F.lit(1.0)).cast("double")
-    return messages.agg(*quantile_ranges(messages, {c: (0.05, 0.99) for c in FEATURES}), excess.alias("long_text_excess_max"))
+    found = column_quantiles(messages, {c: (0.05, 0.99) for c in FEATURES} | {"text_length_chars": (0.05, 0.99, 1.0)})
+    excess = F.greatest(F.coalesce(F.col("text_length_chars")[2] - start, F.lit(1.0)), F.lit(1.0))
+    return found.select(*(quantile_range(F.col(c)).alias(c) for c in FEATURES), excess.alias("long_text_excess_max"))
 
 
 def message_scores(messages: DataFrame, refs: DataFrame, config: dict[str, Any]) -> DataFrame:

@@ -7,7 +7,7 @@ from typing import Any
 
 from .operators.authors import QUANTILE_FEATURES
 from .operators.messages import COUNTS, FEATURES
-from .queries import CONFIG, DAY, FINAL_COLUMNS, MESSAGE_COLUMNS, QUANTILE, SEMANTIC
+from .queries import CONFIG, DAY, FINAL_COLUMNS, HISTORY, MESSAGE_COLUMNS, QUANTILE, SEMANTIC
 from .schema import EXPLANATION_COLUMNS, SCORE_BANDS, TWO_PART_SUFFIXES
 
 MESSAGES = """SELECT d.doc_id AS message_id,
@@ -308,17 +308,35 @@ for _n, _name, _key in ((3, "coverage_share", "domain_coverage"), (128, "top128_
     )
 
 
-def _single() -> str:
-    """New messages through the same steps, against the history's clusters, authors and ranges; an unknown author scores 0."""
-    steps = tables(CONFIG)
-    own = ["messages", "cleaned", "counted", "store", "clustered0", "clustered", "message_parts", "message_scores", "j0", "j1", "j2", "behavioral", "k0", "k1", "k2", "k3", "k4", "scored"]
-    new = {f"new_{n}": re.sub(rf"\bFROM ({'|'.join(own)})\b", r"FROM new_\1", steps[n]) for n in own}
+_NEW_ROWS = ((1, "'Bot bot bot #promo !!!'", "'bot, promo'", "'u_hot'", "'2024-01-01 00:00:00'"), (2, "'Quite a new text about nothing in particular'", "NULL", "NULL", "NULL"), (3, "'#a #b #c #d #e #f'", "'x'", "'nobody'", "NULL"))
+
+
+def _new_messages(config: dict[str, Any], replaced: dict[str, str]) -> str:
+    """New messages through the same steps as the history, reading its authors and ranges; ``replaced`` gives steps of their own."""
+    steps = tables(config)
+    own = ["messages", "cleaned", "counted", "store", *(n for n in replaced if n not in steps or n in ("text_clusters", "windows")), "clustered0", "clustered", "message_parts", "message_scores", "j0", "j1", "j2", "behavioral", "k0", "k1", "k2", "k3", "k4", "scored"]
     row = "SELECT CAST({} AS BIGINT) AS message_id, {} AS original_text, {} AS english_keywords, CAST(NULL AS DOUBLE) AS sentiment, CAST(NULL AS VARCHAR) AS primary_theme, CAST(NULL AS VARCHAR) AS language, CAST(NULL AS VARCHAR) AS url, CAST({} AS VARCHAR) AS author_hash, CAST({} AS TIMESTAMP) AS date"
-    new["new_messages"] = " UNION ALL ".join(row.format(*r) for r in ((1, "'Bot bot bot #promo !!!'", "'bot, promo'", "'u_hot'", "'2024-01-01 00:00:00'"), (2, "'Quite a new text about nothing in particular'", "NULL", "NULL", "NULL"), (3, "'#a #b #c #d #e #f'", "'x'", "'nobody'", "NULL")))
-    new["new_j0"] = new["new_j0"].replace("m.*, a.author_score,", "m.*, coalesce(a.author_score, 0.0) AS author_score,").replace("coalesce(a.author_score, 0.5)", "coalesce(a.author_score, 0.0)")
+    fixed = {"messages": " UNION ALL ".join(row.format(*r) for r in _NEW_ROWS)} | replaced
+    new = {f"new_{n}": fixed[n] if n in fixed else re.sub(rf"\b(FROM|JOIN) ({'|'.join(own)})\b", r"\1 new_\2", steps[n]) for n in own}
     flags = ("author_hard_hourly_flag", "hard_bot_cluster_flag", "hard_same_text_repeat_flag")
     columns = [c for c in EXPLANATION_COLUMNS if c not in (*flags, "author_type")]
-    return sql("SELECT message_id, author_type, " + ", ".join(r6(c) for c in columns) + f", {big(*flags)} FROM new_scored", "message_refs", CONFIG, new)
+    return sql("SELECT message_id, author_type, " + ", ".join(r6(c) for c in columns) + f", {big(*flags)} FROM new_scored", "message_refs", config, new)
+
+
+def _single() -> str:
+    """Against the history's clusters; an unknown author scores 0."""
+    j0 = tables(CONFIG)["j0"].replace("FROM message_scores", "FROM new_message_scores")
+    j0 = j0.replace("m.*, a.author_score,", "m.*, coalesce(a.author_score, 0.0) AS author_score,").replace("coalesce(a.author_score, 0.5)", "coalesce(a.author_score, 0.0)")
+    return _new_messages(CONFIG, {"j0": j0})
+
+
+def _single_with_history() -> str:
+    """Counted together with the history; an unknown author has no score."""
+    both = "(SELECT text_hash, author_hash, time_window_bucket FROM store UNION ALL SELECT text_hash, author_hash, time_window_bucket FROM new_store)"
+    text = f"SELECT text_hash, count(*) AS repeat_count, count(DISTINCT author_hash) AS unique_author_count FROM {both} GROUP BY text_hash"
+    windows = f"SELECT text_hash, time_window_bucket, count(*) AS window_count FROM {both} WHERE time_window_bucket IS NOT NULL GROUP BY ALL"
+    return _new_messages(HISTORY, {"text_clusters": text, "windows": windows})
 
 
 SQL["score_single"] = _single()
+SQL["score_single_with_history"] = _single_with_history()

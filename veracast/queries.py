@@ -28,6 +28,8 @@ DAY = make_config({"thresholds": {"hard_bot_time_window_sec": 86_400, "hard_hour
 SEMANTIC = make_config({"dominant_signal_policy": {"enabled": False}, "semantic_adapter": {"supported_languages": ["all"]}})
 #: Ranges from quantiles over all messages, and missing texts in no cluster.
 QUANTILE = make_config({"runtime": {"refs_mode": "quantile", "null_text_mode": "ignore"}, "dominant_signal_policy": {"enabled": False}})
+#: Ranges from quantiles, for messages scored with a history.
+HISTORY = make_config({"runtime": {"refs_mode": "quantile"}})
 STUB = ExpressionScorer(lambda: F.pmod(F.col("message_id"), F.lit(101)) / 100.0)
 
 
@@ -445,7 +447,7 @@ def score_single(spark, sf_dir):
 
 @query
 def score_single_with_history(spark, sf_dir):
-    return score_with_history(spark.sql(NEW_MESSAGES), _messages(spark, sf_dir), make_config({"runtime": {"refs_mode": "quantile"}}))
+    return score_with_history(spark.sql(NEW_MESSAGES), _messages(spark, sf_dir), HISTORY)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
