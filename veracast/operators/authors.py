@@ -70,9 +70,8 @@ def timing(posts: DataFrame) -> DataFrame:
     gap = F.col("interpost_sec")
     gaps = interpost_gaps(posts)
     out = gaps.groupBy("author_hash").agg((F.sum(F.round(gap * 1e6).cast("long")) / F.count(gap) / 1e6).alias("mean_interpost_sec"), F.stddev_samp(gap).alias("std_interpost_sec"))
-    found = grouped_quantiles(gaps.select("author_hash", gap.alias("x")), "author_hash", F.array(F.lit(0.5), F.lit(0.1)))
-    one = lambda i, name: F.max(F.when(F.col("i") == i, F.col("value"))).alias(name)
-    out = out.join(found.groupBy("author_hash").agg(one(0, "median_interpost_sec"), one(1, "p10_interpost_sec")), "author_hash")
+    found = grouped_quantiles(gaps.select("author_hash", gap.alias("x")), "author_hash", (0.5, 0.1))
+    out = out.join(found, "author_hash").withColumns({"median_interpost_sec": F.col("q")[0], "p10_interpost_sec": F.col("q")[1]})
     cv = F.col("std_interpost_sec") / F.when(F.col("mean_interpost_sec") != 0, F.col("mean_interpost_sec"))
     return out.select("author_hash", "mean_interpost_sec", "median_interpost_sec", "p10_interpost_sec", "std_interpost_sec", cv.alias("interval_cv"))
 
