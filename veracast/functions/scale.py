@@ -13,6 +13,15 @@ def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), x)))
 
 
+def bounded_in(name: str, of: str, inverse: bool = False) -> Column:
+    """``bounded`` (or ``inverse_bounded``) of the column ``name`` in the range ``of``, a struct of lo and hi, parsed at once instead
+    of being put together call by call."""
+    x, low, high = f"CAST({name} AS DOUBLE)", f"{of}.lo", f"{of}.hi"
+    top = f"CASE WHEN {high} > {low} THEN {high} ELSE {low} + 1.0D END"
+    share = f"(({top}) - {x}) / (({top}) - {low})" if inverse else f"({x} - {low}) / (({top}) - {low})"
+    return F.expr(f"CASE WHEN ({share}) IS NOT NULL THEN greatest(0.0D, least(1.0D, {share})) END")
+
+
 def bounded(x: Column, low: Column, high: Column) -> Column:
     """Where x stands between low (0) and high (1); a range without width counts as one wide."""
     x = x.cast("double")

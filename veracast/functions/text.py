@@ -19,7 +19,8 @@ WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range
 _BLANK = "[" + WHITE + "]"
 # runs of blanks within a line that are not just one space; line ends with spaces beside them
 _ODD = WHITE.replace("\n", "").replace(" ", "")
-_ACROSS = f"[{_ODD}][{_ODD} ]*| [{_ODD} ]+"
+# (the visible characters of ASCII, which are most, fail one test instead of one for each kind of blank)
+_ACROSS = f"(?=[^!-~])(?:[{_ODD}][{_ODD} ]*| [{_ODD} ]+)"
 _LINE_ENDS = " +\n *|\n +"
 _AUTHORITY = r"^[^:/?#]+://(?:[^/?#]*@)?([^:/?#]*)"
 
@@ -75,37 +76,35 @@ def keyword_count(clean: Column) -> Column:
 def text_statistics(x: Column) -> Column:
     """A struct of counts and ratios of tokens, hashtags and exclamation marks; all zero for null.
 
-    Tokens are sorted, and one pass over the runs of equal ones gives how many there are, how many different ones, the
-    commonest and the number occurring three times.  The struct comes out of a one-element array, so that it stays one
-    expression: of a plain struct each field would be worked out by itself, with all that it is made of.
+    Tokens are sorted, and the places where a token differs from the one before bound the runs of equal ones: their number and
+    lengths give how many different tokens there are, the commonest and the number occurring three times.  What several fields are
+    made of is the only element of an array, so that it stays one expression: of a plain struct each field would be worked out
+    by itself, with all that it is made of.
     """
     text = F.coalesce(x, F.lit(""))
     tokens = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t))
 
-    def step(acc: Column, token: Column) -> Column:
-        run = F.when(acc["last"] == token, acc["run"] + 1).otherwise(1)
-        return F.transform(
-            F.array(run),
-            lambda r: F.struct(
-                token.alias("last"), r.alias("run"), F.greatest(acc["best"], r).alias("best"), (acc["thrice"] + F.when(r == 3, 1).otherwise(0)).alias("thrice"), (acc["kinds"] + F.when(r == 1, 1).otherwise(0)).alias("kinds"), (acc["n"] + 1).alias("n")
-            ),
-        )[0]
+    def bounds(ordered: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(ordered)), lambda i: ~F.get(ordered, i).eqNullSafe(F.get(ordered, i - 1)))
+
+    def lengths(cuts: Column) -> Column:
+        runs = F.transform(F.slice(cuts, 2, F.greatest(F.size(cuts), F.lit(0))), lambda end, i: end - F.get(cuts, i))
+        return F.struct(runs.alias("runs"), F.coalesce(F.array_max(cuts), F.lit(0)).alias("n"))
 
-    zero = F.lit(0)
-    start = F.struct(F.lit("").alias("last"), zero.alias("run"), zero.alias("best"), zero.alias("thrice"), zero.alias("kinds"), zero.alias("n"))
-    parts = F.struct(F.aggregate(F.array_sort(tokens), start, step).alias("runs"), F.regexp_count(text, F.lit(HASHTAG)).alias("tags"), exclamations(text).alias("loud"), F.length(text).alias("size"))
+    counted = F.transform(F.transform(F.array(F.sort_array(tokens)), bounds), lengths)[0]
+    parts = F.struct(counted.alias("c"), F.regexp_count(text, F.lit(HASHTAG)).alias("tags"), exclamations(text).alias("loud"), F.length(text).alias("size"))
     return F.transform(
         F.array(parts),
         lambda p: F.struct(
-            p["runs"]["n"].alias("token_count"),
-            p["runs"]["kinds"].alias("unique_token_count"),
-            p["runs"]["best"].alias("max_token_frequency"),
-            (p["runs"]["best"] / F.greatest(p["runs"]["n"], F.lit(1))).alias("max_token_ratio"),
-            p["runs"]["thrice"].alias("repeated_token_count_over_2"),
+            p["c"]["n"].alias("token_count"),
+            F.size(p["c"]["runs"]).alias("unique_token_count"),
+            F.coalesce(F.array_max(p["c"]["runs"]), F.lit(0)).alias("max_token_frequency"),
+            (F.coalesce(F.array_max(p["c"]["runs"]), F.lit(0)) / F.greatest(p["c"]["n"], F.lit(1))).alias("max_token_ratio"),
+            F.size(F.filter(p["c"]["runs"], lambda n: n >= 3)).alias("repeated_token_count_over_2"),
             p["tags"].alias("hashtag_count"),
             p["loud"].alias("exclamation_count"),
             (p["tags"] / F.greatest(p["size"], F.lit(1))).alias("hashtag_density_chars"),
-            (p["tags"] / F.greatest(p["runs"]["n"], F.lit(1))).alias("hashtag_density_tokens"),
+            (p["tags"] / F.greatest(p["c"]["n"], F.lit(1))).alias("hashtag_density_tokens"),
         ),
     )[0]
 

@@ -119,8 +119,8 @@ def author_scores(features: DataFrame, refs: DataFrame, config: dict[str, Any])
     limits, w = config["thresholds"], config["weights"]["author"]
     df = features.crossJoin(F.broadcast(refs.select(F.struct(*refs.columns).alias("r"))))
     r = lambda c: F.col(f"r.{c}")
-    up = lambda c: S.bounded(F.col(c), r(f"{c}.lo"), r(f"{c}.hi"))
-    down = lambda c: S.inverse_bounded(F.col(c), r(f"{c}.lo"), r(f"{c}.hi"))
+    up = lambda c: S.bounded_in(c, f"r.{c}")
+    down = lambda c: S.bounded_in(c, f"r.{c}", inverse=True)
     start = float(limits["language_penalty_start"])
     languages = F.greatest(F.col("language_nunique") - start, F.lit(0.0))
     parts = {

@@ -38,7 +38,7 @@ def message_scores(messages: DataFrame, refs: DataFrame, config: dict[str, Any])
     """Clustered messages with spam_pattern_flag, plus their components, hard repeat flag and message_score."""
     w, policy = config["weights"]["message"], config["dominant_signal_policy"]
     df = messages.crossJoin(F.broadcast(refs.select(F.struct(*refs.columns).alias("r"))))
-    up = lambda c: S.bounded(F.col(c), F.col(f"r.{c}.lo"), F.col(f"r.{c}.hi"))
+    up = lambda c: S.bounded_in(c, f"r.{c}")
     spam = F.col("spam_pattern_flag").cast("double")
     over = F.greatest(F.col("text_length_chars") - float(config["thresholds"]["long_text_start"]), F.lit(0.0))
     long_text = S.clip(F.log1p(over) / F.log1p(F.greatest(F.col("r.long_text_excess_max"), F.lit(1.0))))

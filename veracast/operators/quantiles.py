@@ -53,4 +53,8 @@ def column_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> Da
     values = df.select(F.explode(pairs).alias("v")).select("v.*").where(F.abs("x") < float("inf"))
     asked = F.array(*(F.array(*(F.lit(float(p)) for p in ps)) for ps in wanted.values()))
     ranked = _ranked(values, "feature", asked[F.col("feature")], few_keys=True)
-    return ranked.agg(*(F.array(*(_quantile((F.col("feature") == k) & (F.col("i") == i)) for i in range(len(ps)))).alias(c) for k, (c, ps) in enumerate(wanted.items())))
+    # a row for each feature and place: one small aggregate instead of three for each of them
+    width = max(map(len, wanted.values()), default=1)
+    found = ranked.groupBy("feature", "i").agg(_quantile(F.lit(True)).alias("q"))
+    one = found.agg(F.map_from_entries(F.collect_list(F.struct(F.col("feature") * width + F.col("i"), "q"))).alias("m"))
+    return one.selectExpr(*("array({}) AS `{}`".format(", ".join(f"try_element_at(m, {k * width + i})" for i in range(len(ps))), c) for k, (c, ps) in enumerate(wanted.items())))
