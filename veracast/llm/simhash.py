@@ -33,6 +33,8 @@ from .components import connected_components
 SMALL = 33
 #: Variants that a task matches at once: partitions grow with the fingerprints, so that a task's rows do not.
 PART_ROWS = 1 << 20
+#: A fingerprint of more than this part of all rows is joined back by broadcast instead of an exchange.
+HOT = 1000
 
 _GAP = np.zeros(256, bool)
 _GAP[[32, *range(9, 14)]] = True
@@ -198,13 +200,17 @@ def _with_bit(key: np.ndarray, bit: np.ndarray) -> np.ndarray:
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, fingerprint (long) and component_id (smallest id reachable by links, its own included) of each row."""
     found = stored(fingerprint_documents(docs, shingle, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints")
-    nodes = stored(found.groupBy("fingerprint").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    nodes = stored(found.groupBy("fingerprint").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = connected_components(fingerprint_links(nodes.select("fingerprint"), distance), "fingerprint-links")
     linked = nodes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
     named = stored(linked, "fingerprint-roots")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(names, "root").select("fingerprint", "component_id")
-    return found.join(of, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
+    of = stored(named.join(names, "root").select("fingerprint", "n", "component_id"), "fingerprint-components")
+    # rows of the commonest fingerprints, fewer than HOT of them, are named where they are; no task takes all of such a fingerprint's
+    is_hot = F.col("n") > found.count() / HOT
+    hot, rest = F.broadcast(of.where(is_hot).drop("n")), of.where(~is_hot).drop("n")
+    out = found.join(hot, "fingerprint").unionByName(found.join(hot, "fingerprint", "left_anti").join(rest, "fingerprint"))
+    return out.select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
 def one_of_each(docs: DataFrame, distance: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
