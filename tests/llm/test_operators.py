@@ -483,6 +483,17 @@ def test_language_model_uses_all_contexts(spark, kept):
     assert np.allclose([x for _, x in got], [x for _, x in expected], rtol=1e-5, atol=0.01)
 
 
+def test_language_model_takes_little_of_an_executor(spark, monkeypatch):
+    """Blobs are read a few rows at a time, and no task takes a page for a join or its sorts."""
+    seen, write, name = [], ppm.stored, "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(ppm, "stored", lambda *a: seen.append(int(spark.conf.get(name))) or write(*a))
+    out = ppm.score_documents(documents(spark, made_up(16)), kept=(50, 50, 50))
+    assert seen and max(seen) <= 64 and spark.conf.get(name) == before
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan
+
+
 def test_trie_is_a_distribution(spark):
     rng = random.Random(17)
     docs = documents(spark, [(k, "".join(rng.choice("abc ") for _ in range(40))) for k in range(30)])

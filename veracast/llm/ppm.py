@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
@@ -49,6 +50,10 @@ BUCKET_BYTES, MERGE_BYTES, HELD = 24 << 20, 64 << 20, 1_500_000
 DEEP_BUCKETS = 1 << 10
 #: Words whose counts are broadcast.
 HOT_WORDS = 1 << 17
+#: Rows that Spark reads at once, since blobs are long: its vectors are single arrays, for which an executor's heap grows.
+READ_ROWS = 64
+#: Tasks that add up the strings of three bytes.
+PAIR_TASKS = 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -127,7 +132,7 @@ class Counts:
 
 def string_counts(docs: DataFrame, modulus: int, held_out: int, hot: int = HOT_WORDS) -> DataFrame:
     """(part, keys, counts): each group's strings in the training texts, sorted, and how often they occur; with part -1 words by
-    their hashes, the ``hot`` commonest among them."""
+    their hashes, the ``hot`` commonest among them; with part -2 each task's strings of three bytes."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = min(GROUPS, max(shuffle_parts(docs.sparkSession), -(-total // MERGE_BYTES)))
 
@@ -156,6 +161,9 @@ def string_counts(docs: DataFrame, modulus: int, held_out: int, hot: int = HOT_W
             for b, k, c in zip(*(batch.column(x).to_pylist() for x in ("bucket", "keys", "counts")), strict=True):
                 by_kind[b >= parts].add(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64))
         key, n = by_kind[0].all()
+        if len(key):
+            three, many = merged(key & _mask(3), n)
+            yield pa.RecordBatch.from_arrays([pa.array([-2], pa.int32()), pa.array([three.tobytes()], pa.binary()), pa.array([many.tobytes()], pa.binary())], ["part", "keys", "counts"])
         part = _group(key)
         order = np.argsort(part, kind="stable")
         key, n, part = key[order], n[order], part[order]
@@ -185,9 +193,27 @@ def hot_words(found: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
     return words[order], n[order]
 
 
+def pair_counts(found: DataFrame) -> pa.Table:
+    """(context, total): all strings of three bytes.  They are few whatever the corpus, and added up without a hash table of Spark's,
+    of which each task would take a page of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counts()
+        for batch in batches:
+            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                held.add(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64))
+        key, n = held.all()
+        yield pa.RecordBatch.from_arrays([pa.array([key.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["keys", "counts"])
+
+    some, held = found.where("part = -2").select("keys", "counts").coalesce(PAIR_TASKS).mapInArrow(lean(run), "keys binary, counts binary").toArrow(), Counts()
+    for k, c in zip(some.column("keys").to_pylist(), some.column("counts").to_pylist(), strict=True):
+        held.add(np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64))
+    key, n = held.all()
+    return pa.table({"context": key.astype(np.int64), "total": n})
+
+
 def context_counts(found: DataFrame) -> DataFrame:
-    """(width, context, total, symbols, counts): followers of each context of three to ``ORDER`` bytes; of width 2 a row for
-    each string of three bytes in each group, its ``total`` yet to be added up."""
+    """(width, context, total, symbols, counts): followers of each context of three to ``ORDER`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,9 +229,6 @@ def context_counts(found: DataFrame) -> DataFrame:
                     for at in range(0, len(first), 10_000):
                         part, f = rows[at : at + 10_000], first[at : at + 10_000]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), width, np.int32)), pa.array(context[f].astype(np.int64)), pa.array(total[at : at + 10_000]), pa.array([r[0] for r in part], pa.binary()), pa.array([r[1] for r in part], pa.binary())], names)
-                key, n = merged(key & _mask(3), n)
-                none = pa.nulls(len(key), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), 2, np.int32)), pa.array(key.astype(np.int64)), pa.array(n), none, none], names)
 
     names = ["width", "context", "total", "symbols", "counts"]
     return found.where("part >= 0").select("keys", "counts").mapInArrow(lean(run), "width int, context long, total long, symbols binary, counts binary")
@@ -406,13 +429,14 @@ def _train(docs: DataFrame, modulus: int, held_out: int, kept: tuple[int, ...],
     def top(width: int, n: int) -> pa.Table:
         return counts.where(F.col("width") == width).orderBy(F.desc("total"), "context").limit(n).select("context", "symbols", "counts").toArrow()
 
-    pairs = counts.where("width = 2").groupBy("context").agg(F.sum("total").alias("total")).toArrow()
-    sizes = {r[0]: r[1] for r in counts.where("width > 2").groupBy("width").count().collect()}
+    pairs = pair_counts(found)
+    widths = range(3, ORDER + 1)
+    sizes = dict(zip(widths, counts.agg(*(F.count_if(F.col("width") == w) for w in widths)).first(), strict=True))
     total = sum(pairs.column("total").to_pylist())
-    return Trie({2: pairs} | {w: top(w, kept[w - 3]) for w in range(3, ORDER + 1)}, sizes), total, found
+    return Trie({2: pairs} | {w: top(w, kept[w - 3]) for w in widths}, sizes), total, found
 
 
-_OUT = "row_key long, id {kind}, held_out boolean, n_tokens long, score double, hot_s double, hot_known long, bucket int, blob binary"
+_OUT = "first_key long, row_key long, id {kind}, held_out boolean, n_tokens long, score double, hot_s double, hot_known long, bucket int, blob binary"
 
 
 def _word_blobs(hashes: np.ndarray, owner: np.ndarray, n_docs: int, n_train: int, first_key: int, n_buckets: int, bucket_of: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> list[tuple[int, bytes]]:
@@ -514,23 +538,48 @@ def _deep_sums(floor: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The buckets' sums of each chunk added, a row for each of its documents; key -1 as it is."""
+    """The rows of each chunk with its buckets' sums added; under key -1 the distinct and all training words."""
     found: dict[int, list[np.ndarray]] = {}
+    rows = []
     for batch in batches:
+        is_row = pc.is_valid(batch.column("row_key"))
+        rows.append(batch.filter(is_row).select(["first_key", "row_key", "id", "held_out", "n_tokens", "score", "hot_s", "hot_known"]))
+        batch = batch.filter(pc.invert(is_row))
         for key, *blobs in zip(*(batch.column(c).to_pylist() for c in ("first_key", "s", "known", "deep")), strict=True):
             for k, (blob, kind) in enumerate(zip(blobs, (np.float64, np.int64, np.float64), strict=True)):
                 part, have = np.frombuffer(blob or b"", kind), found.setdefault(key, [np.zeros(0), np.zeros(0, np.int64), np.zeros(0)])
                 if len(part) > len(have[k]):
                     have[k] = np.r_[have[k], np.zeros(len(part) - len(have[k]), kind)]
                 have[k][: len(part)] += part
-    for key, sums in found.items():
-        n = max(map(len, sums))
-        s, known, deep = (np.r_[x, np.zeros(n - len(x), x.dtype)] for x in sums)
-        yield pa.RecordBatch.from_arrays([pa.array(key + np.arange(len(s))), pa.array(s), pa.array(known), pa.array(deep)], ["row_key", "s", "known", "deep"])
+    names = ["row_key", "id", "held_out", "n_tokens", "score", "s", "known"]
+    for some in rows:
+        if some.num_rows:
+            of, place = some.column("first_key").to_numpy(), some.column("row_key").to_numpy()
+            sums = some.column("hot_s").to_numpy().copy(), some.column("hot_known").to_numpy().copy(), some.column("score").to_numpy().copy()
+            for key in np.unique(of).tolist():
+                mine = np.flatnonzero(of == key)
+                for total, have in zip(sums, found.get(key, []), strict=False):
+                    at = mine[place[mine] - key < len(have)]
+                    total[at] += have[place[at] - key]
+            yield pa.RecordBatch.from_arrays([some.column("row_key"), some.column("id"), some.column("held_out"), some.column("n_tokens"), pa.array(sums[2]), pa.array(sums[0]), pa.array(sums[1])], names)
+    if -1 in found:
+        s, known, _ = found[-1]
+        kind = rows[0].schema.field("id").type
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.array(s), pa.array(known)], names)
 
 
 def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, kept: tuple[int, ...] = KEPT, hot: int = HOT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of each row."""
+    conf, name = docs.sparkSession.conf, "spark.sql.parquet.columnarReaderBatchSize"
+    before = conf.get(name)
+    conf.set(name, str(READ_ROWS))
+    try:
+        return _score(docs, modulus, held_out, kept, hot, id_col, text_col)
+    finally:
+        conf.set(name, before)
+
+
+def _score(docs: DataFrame, modulus: int, held_out: int, kept: tuple[int, ...], hot: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     trie, total, found = _train(docs, modulus, held_out, kept, hot, id_col, text_col)
     common_words = hot_words(found, hot)
@@ -570,35 +619,36 @@ def score_documents(docs: DataFrame, modulus: int = 7, held_out: int = 2, kept:
                     hot_s, hot_known = np.bincount(owner[ok], worth[place[ok]], n), np.bincount(owner[ok], minlength=n)
                     hashes, owner = hashes[~ok], owner[~ok]
                 none = pa.nulls(n)
-                yield pa.RecordBatch.from_arrays([pa.array(key + np.arange(n)), batch.column("id"), pa.array(np.arange(n) >= n_train), pa.array(tokens), pa.array(score), pa.array(hot_s), pa.array(hot_known), none.cast(pa.int32()), none.cast(pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(key + np.arange(n)), batch.column("id"), pa.array(np.arange(n) >= n_train), pa.array(tokens), pa.array(score), pa.array(hot_s), pa.array(hot_known), none.cast(pa.int32()), none.cast(pa.binary())], names)
                 blobs = _word_blobs(hashes, owner, n, n_train, key, n_buckets)
                 share = n_buckets + n_deep * ((partition + n_chunks) % n_shares)
                 blobs += [(share + b, blob) for b, blob in _word_blobs(asked, asker, n, n_train, key, n_deep, _group)]
                 none, m = pa.nulls(len(blobs)), len(blobs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, key)), none.cast(batch.schema.field("id").type), none.cast(pa.bool_()), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.float64()), none.cast(pa.int64()), pa.array([b for b, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, key)), none.cast(pa.int64()), none.cast(batch.schema.field("id").type), none.cast(pa.bool_()), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.float64()), none.cast(pa.int64()), pa.array([b for b, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names)
                 key += n
                 n_chunks += 1
 
-    names = ["row_key", "id", "held_out", "n_tokens", "score", "hot_s", "hot_known", "bucket", "blob"]
+    names = ["first_key", "row_key", "id", "held_out", "n_tokens", "score", "hot_s", "hot_known", "bucket", "blob"]
     both = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), _OUT.format(kind=kind)), "word-blobs")
     sent = both.where("bucket is not null").select("bucket", "blob")
     sums_kind = "first_key long, s binary, known binary, deep binary"
-    cold = sent.where(F.col("bucket") < n_buckets).repartition(n_buckets, "bucket").mapInArrow(lean(_sums), sums_kind)
+    at_once = 4 * spark.sparkContext.defaultParallelism  # small buckets follow one another in a task, which takes a page for what it sends on
+    cold = sent.where(F.col("bucket") < n_buckets).repartition(n_buckets, "bucket").mapInArrow(lean(_sums), sums_kind).coalesce(max(at_once, n_buckets // 8))
     asked = sent.where(F.col("bucket") >= n_buckets).select((F.col("bucket") - n_buckets).alias("bucket"), "blob", F.lit(None).cast("binary").alias("counts"))
     # every share of what is asked meets a copy of its group's strings
     share = F.explode(F.sequence(F.lit(0), F.lit(n_shares - 1)))
     known = found.where("part >= 0").select((F.col("part") % n_deep).alias("at"), share.alias("share"), F.col("keys").alias("blob"), "counts").select((F.col("at") + n_deep * F.col("share")).cast("int").alias("bucket"), "blob", "counts")
-    deep = asked.unionAll(known).repartition(n_deep * n_shares, "bucket").mapInArrow(lean(_deep_sums(floor)), sums_kind)
+    deep = asked.unionAll(known).repartition(n_deep * n_shares, "bucket").mapInArrow(lean(_deep_sums(floor)), sums_kind).coalesce(max(at_once, n_deep * n_shares // 8))
     shared.unpersist()
-    sums = cold.unionAll(deep).repartition(max(shuffle_parts(spark), n_buckets), "first_key")
-    sums = stored(sums.mapInArrow(lean(_add_up), "row_key long, s double, known long, deep double"), "word-sums")
+    # rows go to where their chunk's sums meet, which needs neither a join nor the pages of its sorts
+    sums = cold.unionAll(deep).withColumn("row_key", F.lit(None).cast("long"))
+    sums = both.where("bucket is null").drop("bucket", "blob").unionByName(sums, allowMissingColumns=True).repartition(max(shuffle_parts(spark), n_buckets), "first_key")
+    sums = stored(sums.mapInArrow(lean(_add_up), f"row_key long, id {kind}, held_out boolean, n_tokens long, score double, s double, known long"), "word-sums")
     floor.unpersist()
     n_types, n_words = sums.where("row_key = -1").agg(F.sum("s"), F.sum("known")).first()
     n_types, n_words = (n_types or 0.0) + len(common_words[0]), (n_words or 0) + int(common_words[1].sum())
-    rows = both.where("bucket is null").drop("bucket", "blob").join(sums.where("row_key >= 0"), "row_key", "left")
-    some = lambda c: F.coalesce(F.col(c), F.lit(0))
-    base = some("s") + F.col("hot_s") - F.col("n_tokens") * float(np.log10(n_words + n_types + 1.0))
-    return rows.select(F.col("id").alias(id_col), "held_out", "n_tokens", (some("known") + F.col("hot_known")).alias("n_known"), F.lit(n_words).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + some("deep")).alias("score"))
+    base = F.col("s") - F.col("n_tokens") * float(np.log10(n_words + n_types + 1.0))
+    return sums.where("row_key >= 0").select(F.col("id").alias(id_col), "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(n_words).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def _end_word() -> np.ndarray:
