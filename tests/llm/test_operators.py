@@ -400,6 +400,25 @@ def test_hashing_selects_and_recalls():
     assert rows[ids == 4000].tolist() == true.tolist()
 
 
+def test_probes_follow_the_neighbours_and_not_the_rows():
+    assert len({ann.plan(n, 64) for n in (10, 500, 16_383, 16_384, 51_282, 10**7)}) == 1
+    rng = np.random.default_rng(22)
+    for n in (2_000, 20_000):
+        for spread, most in ((0.3, 0.1), (3.0, 0.6)):
+            x = (rng.normal(size=(n // 50, 64))[rng.integers(0, n // 50, n)] + spread * rng.normal(size=(n, 64))).astype(np.float32)
+            asked, length = np.arange(0, n, n // 50), np.linalg.norm(x, axis=1)
+            first = ann.QueryBlock(asked, x[asked], ann.TABLES, *ann.plan(n, 64), np.full(len(asked), -1.0)).search(np.arange(n), x, 10)
+            far = np.array([first[2][first[0] == q].max() for q in asked]) / length[asked]
+            block = ann.QueryBlock(asked, x[asked], ann.TABLES, *ann.plan(n, 64), far)
+            assert sum(len(q) for q, _ in block.pairs(ann.unit_vectors(x))) < most * len(asked) * n
+            ids, rows, _ = block.search(np.arange(n), x, 10)
+            hits = 0
+            for q in asked.tolist():
+                true = np.argsort(((x.astype(float) - x[q].astype(float)) ** 2).sum(1), kind="stable")[1:11]
+                hits += len({*true.tolist()} & {*rows[ids == q].tolist()})
+            assert hits >= 9 * len(asked)
+
+
 def test_wide_rotations_are_the_dense_ones(monkeypatch):
     x = ann.unit_vectors(np.random.default_rng(3).normal(size=(40, 20)).astype(np.float32))
     dense = ann.CrossPolytope(20, 2, 2)

@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 In each table a few fast pseudo-rotations (three rounds of sign flips and a Hadamard transform each) turn the unit vectors, and a
-vector's bucket is the signed axes nearest to it, one for each rotation: how many there are follows from the number of rows, so that
-buckets stay small.  A query probes buckets of each table best first, by how little its turned vector falls short of its own
-nearest axes.  Every row of the corpus is hashed in every table as its partition is scanned; rows meet the queries that probe
-their buckets, once whatever the tables, and each such pair is ranked exactly, on the original vectors in double precision.
+vector's bucket is the signed axes nearest to it, one for each rotation.  A query probes buckets by how little its turned vector
+falls short of its own nearest axes: first a few, then all that fall short by no more than neighbours as near as those found would
+make them.  So each query's probes follow from how near its neighbours are, and nothing from the number of rows.  Every row of the
+corpus is hashed in every table as its partition is scanned; rows meet the queries that probe their buckets, once whatever the
+tables, and each such pair is ranked exactly, on the original vectors in double precision.
 
 The queries are the stated set: they are taken in blocks of bounded size, each broadcast with its probes.  A partition
 returns at most ``k`` rows a query, and those are ranked again over all partitions.  Identical vectors of a batch are compared
-once, keeping the ``k`` + 1 smallest ids, which is all that can be returned.  Queries for which fewer than ``k`` rows were found are
-searched again without buckets, which is exact.
+once, keeping the ``k`` + 1 smallest ids, which is all that can be returned.  Queries for which fewer than ``k`` rows were found at
+first are searched again without buckets, which is exact.
 
 Defined results: vectors that are null, zero, or hold a null or a non-finite number take no part, nor do those whose length is
 not the commonest (the shorter of two), nor rows without an id; rows repeating an id and a vector count once, and of rows repeating
@@ -27,11 +28,18 @@ from pyspark.sql import functions as F
 
 from .common import lean, ragged, stored
 
-#: Measured recall at 10 against brute force, and share of all rows that a query meets: 0.95 and 0.13 on 51,282 vectors of 64 numbers
-#: of no structure, 0.95 and 0.07 on 500,000 such, 1.00 and 0.07 on 500,000 in 20,000 clusters.
+#: Measured recall at 10 against brute force, and share of all rows that a query meets: 0.94 and 0.51 on 500 vectors of 64 numbers, 0.985
+#: and 0.39 on 2,000, 0.99 and 0.33 on 10,256, 0.99 and 0.29 on 51,282, 0.99 and 0.26 on 200,000 normal ones, 1.00 and 0.03 on 20,000 in 300
+#: clusters, 0.905 and 0.26 on 20,000 whose lengths vary by a factor of some 1.6.  Of 40,000 normal vectors of 300 numbers only 0.72.
 TABLES = 12
-#: Nearest axes of a rotation that a query looks at, by the number of rotations.
+#: Buckets of each table that a query probes first.
+FIRST = 16
+#: Shortfall up to which a query then probes, in standard deviations of a coordinate's change from the query to a row as far as the last
+#: of those found.
+REACH = 2.2
+#: Nearest axes of a rotation that a query looks at, by the number of rotations; of two, three eighths of all if those are more, up to ``MOST_AXES``.
 AXES = {1: 8, 2: 48}
+MOST_AXES = 256
 #: Rotations up to this width are applied as matrices, which their transforms give once; wider ones transform by transform.
 DENSE = 256
 #: Pairs of a query and a row that are ranked at once.
@@ -82,28 +90,26 @@ class CrossPolytope:
             out = out * (2 * self.width) + axis + self.width * (x[np.arange(len(x)), axis] < 0)
         return out
 
-    def probes(self, unit: np.ndarray, table: int, n: int, axes: int) -> np.ndarray:
-        """The ``n`` best buckets of each vector among those of each rotation's ``axes`` nearest axes."""
+    def probes(self, unit: np.ndarray, table: int, n: int, axes: int, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that each vector probes, and their number for each: the ``n`` best and those that fall short by at most ``reach``,
+        of those of each rotation's ``axes`` nearest axes."""
         code, short = np.zeros((len(unit), 1), np.int64), np.zeros((len(unit), 1), np.float32)
         for r in range(self.rotations):
             x = self.turned(unit, table, r)
             x = np.concatenate([x, -x], 1)
-            near = np.argsort(-x, axis=1, kind="stable")[:, :axes]
+            within = int((x.max(1, keepdims=True) - x <= reach[:, None]).sum(1).max())  # no other axis is part of a bucket within reach
+            near = np.argsort(-x, axis=1, kind="stable")[:, : min(axes, max(n, within))]
             x = np.take_along_axis(x, near, 1)
             code = (code[:, :, None] * (2 * self.width) + near[:, None, :]).reshape(len(unit), -1)
             short = (short[:, :, None] + (x[:, :1] - x)[:, None, :]).reshape(len(unit), -1)
-        return np.take_along_axis(code, np.argsort(short, axis=1, kind="stable")[:, :n], 1)
+        probed = short <= reach[:, None]
+        np.put_along_axis(probed, np.argsort(short, axis=1, kind="stable")[:, :n], True, 1)
+        return code[probed], probed.sum(1)
 
 
 def plan(rows: int, dimension: int) -> tuple[int, int]:
-    """Rotations a table, two unless that leaves more buckets than rows, and buckets to probe in each table.
-
-    The more rows there are the nearer are the nearest, so that fewer probes reach them.
-    """
-    buckets = 2 << max(1, (dimension - 1).bit_length())
-    if buckets**2 > rows:
-        return 1, 8
-    return 2, max(16, round(160 * min(1.0, 50_000 / rows) ** 0.35))
+    """Rotations a table, and buckets to probe first in each table: the same for all ``rows`` and dimensions."""
+    return 2, FIRST
 
 
 def matrix(column: pa.Array, dimension: int) -> np.ndarray:
@@ -116,6 +122,16 @@ def unit_vectors(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def distances(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of x[i] from y[j], so many at a time that their differences stay in the processor's cache."""
+    out, step = np.empty(len(i)), max(1, (1 << 16) // x.shape[1])
+    for a in range(0, len(i), step):
+        z = x[i[a : a + step]] - y[j[a : a + step]]
+        z *= z
+        out[a : a + step] = z.sum(1)
+    return np.sqrt(out)
+
+
 def ranges(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Cuts a sequence where its counts have added up to about ``most``."""
     total, a = np.r_[0, np.cumsum(counts)], 0
@@ -135,18 +151,39 @@ def nearest(q: np.ndarray, d: np.ndarray, row: np.ndarray, k: int) -> np.ndarray
     return order[np.arange(len(q)) - np.searchsorted(q, q) < k]
 
 
+def probing(hash_: CrossPolytope, vectors: np.ndarray, table: int, probes: int, far: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The buckets that vectors probe in a table, and their number for each, a few vectors at a time."""
+    reach, axes, step = REACH * far / hash_.width**0.5, AXES[hash_.rotations], max(8, min(256, (1 << 15) // hash_.width))
+    if hash_.rotations == 2:
+        axes = max(axes, min(3 * hash_.width // 4, MOST_AXES))
+    for a in range(0, len(vectors), step):
+        yield hash_.probes(unit_vectors(vectors[a : a + step]), table, probes, axes, reach[a : a + step])
+
+
+def probed(vectors: np.ndarray, tables: int, rotations: int, probes: int, far: np.ndarray) -> np.ndarray:
+    """How many buckets each vector probes in all tables."""
+    hash_ = CrossPolytope(vectors.shape[1], tables, rotations)
+    return sum((np.concatenate([many for _, many in probing(hash_, vectors, t, probes, far)]) for t in range(tables)), np.zeros(len(vectors), np.int64))
+
+
 class QueryBlock:
     """A block of queries with, for each table, the queries that probe each bucket; without tables every pair is compared."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, tables: int, rotations: int, probes: int) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, tables: int, rotations: int, probes: int, far: np.ndarray | None = None) -> None:
+        """``far``: for each query how far the last of its neighbours found is, as a share of the query's length; 1 if that
+        is not known, less than 0 to probe no more than ``probes``."""
         self.ids, self.vectors = ids, vectors.astype(np.float64)
         self.hash = CrossPolytope(vectors.shape[1], tables, rotations)
+        self.bar = np.full(len(ids), np.inf)  # the neighbours found are found again: none farther is among the nearest
+        if far is not None and len(ids):
+            most = np.abs(self.vectors).max(1)
+            self.bar = np.where(far >= 0, far * np.linalg.norm(self.vectors / most[:, None], axis=1) * most * (1 + 1e-5), np.inf)
         self.probing = []
         for t in range(tables):
-            buckets = np.concatenate([self.hash.probes(unit_vectors(vectors[a : a + 256]), t, probes, AXES[rotations]) for a in range(0, len(vectors), 256)])
-            order = np.argsort(buckets, axis=None, kind="stable")
-            known, first = np.unique(buckets.ravel()[order], return_index=True)
-            self.probing.append((known, np.r_[first, len(order)], (order // buckets.shape[1]).astype(np.int32)))
+            buckets, many = (np.concatenate(x) for x in zip(*probing(self.hash, vectors, t, probes, np.ones(len(ids)) if far is None else far), strict=True))
+            order = np.argsort(buckets, kind="stable")
+            known, first = np.unique(buckets[order], return_index=True)
+            self.probing.append((known, np.r_[first, len(order)], np.repeat(np.arange(len(ids), dtype=np.int32), many)[order]))
 
     def pairs(self, unit: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, row) of all pairs in which the query probes a bucket of the row, each once, a bounded number at a time."""
@@ -166,7 +203,8 @@ class QueryBlock:
             for (first, many), (_, _, members) in zip(found, self.probing, strict=True):
                 rows = np.repeat(np.arange(a, b), many[a:b])
                 keys.append(members[ragged(first[a:b], many[a:b])].astype(np.int64) * len(unit) + rows)
-            key = np.unique(np.concatenate(keys))
+            key = np.sort(np.concatenate(keys))
+            key = key[np.diff(key, prepend=-1) > 0]
             yield key // len(unit), key % len(unit)
 
     def search(self, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,11 +217,11 @@ class QueryBlock:
         place = np.arange(len(ids)) - np.searchsorted(which, which)
         ids, which = ids[place <= k], which[place <= k]
         exact = rows.astype(np.float64)
-        best, bar = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.full(len(self.ids), np.inf)
+        best, bar = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), self.bar.copy()
         for some_q, some_r in self.pairs(unit_vectors(rows)):
             for a in range(0, len(some_q), PAIRS):
                 q, r = some_q[a : a + PAIRS], some_r[a : a + PAIRS]
-                d = np.sqrt(((self.vectors[q] - exact[r]) ** 2).sum(1))
+                d = distances(self.vectors, q, exact, r)
                 near = d <= bar[q]  # none farther than the last of ``k`` that are known
                 q, r, d = q[near], r[near], d[near]
                 first, after = np.searchsorted(which, r), np.searchsorted(which, r, side="right")
@@ -208,9 +246,9 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, in
     return (good.where(F.size("vec") == common[0]), common[0], common[1]) if common else (good, 0, 0)
 
 
-def _search(corpus: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, tables: int, rotations: int, probes: int) -> DataFrame:
+def _search(corpus: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, tables: int, rotations: int, probes: int, far: np.ndarray | None = None) -> DataFrame:
     spark = corpus.sparkSession
-    shared = spark.sparkContext.broadcast(QueryBlock(ids, vectors, tables, rotations, probes))
+    shared = spark.sparkContext.broadcast(QueryBlock(ids, vectors, tables, rotations, probes, far))
     dimension = vectors.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,29 +276,35 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, tabl
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not dimension:
         return empty
-    rotations, probes = plan(n_rows, dimension) if probes is None else (rotations, probes)
+    follow = probes is None  # else what was asked for is all that is probed
+    rotations, probes = plan(n_rows, dimension) if follow else (rotations, probes)
     asked = stored(asked.where(F.size("vec") == dimension).dropDuplicates(["id"]), "queries")
     n_asked, n_ids = asked.count(), corpus.select("id").distinct().limit(k + 1).count()
     # a query comes with eight bytes for each number and for each bucket it probes
     n_blocks = -(-n_asked * 8 * (dimension + tables * probes) // block_bytes)
-    parts = []
-
-    def search(rows: DataFrame, n_tables: int) -> DataFrame | None:
-        table = rows.toArrow()
-        if not table.num_rows:
-            return None
-        return _search(corpus, table.column("id").to_numpy(), matrix(table.column("vec").combine_chunks(), dimension), k, n_tables, rotations, probes)
-
-    for b in range(n_blocks):
-        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b)
-        found = stored(search(block, tables), "neighbours") if block.limit(1).count() else empty
-        want = min(k, n_ids - 1)
-        full = found.groupBy("query_id").count().where(F.col("count") >= want).select(F.col("query_id").alias("id"))
-        short = stored(block.join(full, "id", "left_anti"), "short-queries") if want else block.limit(0)
-        again = search(short, 0)
-        if again is not None:
-            found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(empty.columns).union(again)
-        parts.append(found)
+    want, parts = min(k, n_ids - 1), []
+
+    def search(ids: np.ndarray, x: np.ndarray, n_tables: int, far: np.ndarray | None = None) -> DataFrame:
+        return stored(_search(corpus, ids, x, k, n_tables, rotations, probes, far), "neighbours")
+
+    for b in range(n_blocks if want else 0):
+        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).toArrow()
+        if not block.num_rows:
+            continue
+        ids, x = block.column("id").to_numpy(), matrix(block.column("vec").combine_chunks(), dimension)
+        first = search(ids, x, tables, np.full(len(ids), -1.0))
+        last = {r[0]: r[1:] for r in first.groupBy("query_id").agg(F.count("*"), F.max("score")).collect()}
+        full = np.array([last.get(i, (0, 0.0))[0] >= want for i in ids.tolist()])
+        if follow and full.any():
+            most = np.abs(x).max(1).astype(np.float64)
+            far = np.array([last.get(i, (0, 0.0))[1] for i in ids.tolist()]) / most / np.linalg.norm(x / most[:, None], axis=1)
+            far, ids_full, x_full = np.nan_to_num(far, nan=np.inf, posinf=np.inf)[full], ids[full], x[full]
+            for a, z in ranges(8 * (dimension + probed(x_full, tables, rotations, probes, far)), block_bytes):
+                parts.append(search(ids_full[a:z], x_full[a:z], tables, far[a:z]))
+        elif full.any():
+            parts.append(first.join(spark.createDataFrame([(i,) for i in ids[full].tolist()], "query_id long"), "query_id", "left_semi").select(empty.columns))
+        if not full.all():
+            parts.append(search(ids[~full], x[~full], 0))
     out = parts[0] if parts else empty
     for p in parts[1:]:
         out = out.union(p)
