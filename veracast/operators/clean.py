@@ -17,8 +17,8 @@ def with_message_id(raw: DataFrame) -> DataFrame:
     return raw if "message_id" in raw.columns else raw.withColumn("message_id", F.monotonically_increasing_id())
 
 
-def clean_messages(raw: DataFrame, config: dict[str, Any], scorer: Scorer | None = None, rare: DataFrame | None = None) -> DataFrame:
-    """Every raw row with its derived columns; ``rare`` (language) marks rare languages where given."""
+def clean_messages(raw: DataFrame, config: dict[str, Any], scorer: Scorer | None = None, common: DataFrame | None = None) -> DataFrame:
+    """Every raw row with its derived columns; ``common`` (language), where given, has the languages that are not rare."""
     limits, runtime = config["thresholds"], config["runtime"]
     df = with_message_id(raw)
     absent = [f for f in RAW_MESSAGE.fields if f.name not in df.columns]
@@ -55,10 +55,12 @@ def clean_messages(raw: DataFrame, config: dict[str, Any], scorer: Scorer | None
         (size < limits["min_text_len"]).cast("byte").alias("is_short_text"),
         (size > limits["long_text_start"]).cast("byte").alias("is_long_text_flag"),
     )
-    if rare is not None:
-        # at most one row for each language, and only those below the threshold
-        seldom = rare.select(F.col("language").alias("rare_name"), F.lit(1).cast("byte").alias("rare_flag"))
-        df = df.join(seldom, F.col("language") == F.col("rare_name"), "left").drop("rare_name").withColumn("is_rare_language", F.coalesce("rare_flag", F.lit(0).cast("byte"))).drop("rare_flag")
+    if common is not None:
+        # broadcast, since an exchange by language would bring all rows of one language together; at most one language for each
+        # ``rare_language_threshold`` rows is common, while rare ones may be as many as rows
+        often = common.select(F.col("language").alias("common_name"))
+        rarely = F.col("language").isNotNull() & F.col("common_name").isNull()
+        df = df.join(F.broadcast(often), F.col("language") == F.col("common_name"), "left").withColumn("is_rare_language", rarely.cast("byte")).drop("common_name")
     else:
         df = df.withColumn("is_rare_language", F.lit(0).cast("byte"))
     return (scorer or scorer_for(config)).apply(df, config)
@@ -80,10 +82,18 @@ def language_counts(raw: DataFrame) -> DataFrame:
     return raw.groupBy(language).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), F.asc_nulls_last("language"))
 
 
-def rare_languages(raw: DataFrame, config: dict[str, Any]) -> DataFrame:
+def _by_language(raw: DataFrame) -> DataFrame:
     language = X.missing_to_null(F.col("language")).alias("language")
-    counts = raw.groupBy(language).agg(F.count("*").alias("rows"))
-    return counts.where((F.col("rows") < config["thresholds"]["rare_language_threshold"]) & F.col("language").isNotNull())
+    return raw.groupBy(language).agg(F.count("*").alias("rows")).where("language is not null")
+
+
+def rare_languages(raw: DataFrame, config: dict[str, Any]) -> DataFrame:
+    return _by_language(raw).where(F.col("rows") < config["thresholds"]["rare_language_threshold"])
+
+
+def common_languages(raw: DataFrame, config: dict[str, Any]) -> DataFrame:
+    """Every language that is not rare."""
+    return _by_language(raw).where(F.col("rows") >= config["thresholds"]["rare_language_threshold"])
 
 
 def clean_summary(clean: DataFrame, kept: DataFrame) -> DataFrame:

@@ -32,8 +32,8 @@ class Scored:
 def clean_rows(raw: DataFrame, config: dict[str, Any], scorer: Scorer | None = None) -> DataFrame:
     """Every raw message cleaned."""
     rows = clean.with_message_id(raw)
-    rare = clean.rare_languages(rows, config) if config["runtime"]["refs_mode"] == "quantile" else None
-    return clean.clean_messages(rows, config, scorer, rare)
+    common = clean.common_languages(rows, config) if config["runtime"]["refs_mode"] == "quantile" else None
+    return clean.clean_messages(rows, config, scorer, common)
 
 
 def deduplicated(rows: DataFrame, config: dict[str, Any]) -> DataFrame:
