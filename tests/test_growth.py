@@ -1,9 +1,13 @@
 """What keeps the work of one task, and of a query, from growing faster than its input."""
 
+import unicodedata
+
 import pytest
+from pyspark.sql import functions as F
 
 from test_engine import CONFIG, raw
 from veracast.config import deep_merge
+from veracast.functions import text as X
 from veracast.operators import reports
 from veracast.plans.score import clean_rows, clean_store, score_store, without_texts
 
@@ -80,3 +84,17 @@ def test_a_map_of_scored_messages_needs_no_join(spark):
     assert not carried(df, ("Join",)) and df.first().rows == 30
     apart = reports.manipulation_map(scored.drop("language", "registered_domain"), scored)
     assert apart.collect() == df.collect()
+
+
+def test_few_texts_go_through_python(spark):
+    texts = ["plain", "Größe naïve Ёлка “quoted” – 日本 ひらがな カタカナ", "ﬁne", "é", "x²", "ＡＢ", "ㄱ", "Iİ", "a b", "が"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.col("t").rlike(X._UNSTABLE).alias("odd"), X.normalized(F.col("t")).alias("n")).collect()
+    assert {r.t for r in found if not r.odd} == {texts[0], texts[1], "Iİ"}
+    assert all(r.n == unicodedata.normalize("NFKC", r.t) for r in found)
+
+
+def test_whether_a_model_would_be_given_anything(spark):
+    texts = [None, "", "a", "12 34", "١٢", "http://only.link/", "HTTP://x www.y", "see http://x", "www.x y", "ht tp", "_", "Ⅷ", "½", "#12@", "!!! é", "1" * 50_000, "http://x " * 9_000, "1" * 50_000 + "z", "日"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.has_semantic_input(F.col("t")).alias("some"), (X.semantic_input(F.col("t")) != "").alias("left"))
+    rows = df.collect()
+    assert all(r.some == r.left for r in rows) and {r.some for r in rows} == {True, False}

@@ -40,6 +40,25 @@ def present(t: Column) -> Column:
     return F.when((F.length(t) > 4) | ~F.lower(t).isin(*MISSING), t)
 
 
+def _stable() -> str:
+    """Inside of a character class: letters beyond ASCII, marks of punctuation and ideographs that the compatibility form leaves alone,
+    whatever stands beside them (none combines with what is before it)."""
+    ranges, first = [], None
+    for low, high in ((0xA1, 0x24F), (0x391, 0x3FF), (0x400, 0x482), (0x48A, 0x52F), (0x2010, 0x201F), (0x3041, 0x3096), (0x30A1, 0x30FA)):
+        for c in range(low, high + 2):
+            good = c <= high and unicodedata.category(chr(c)) != "Cn" and unicodedata.is_normalized("NFKC", chr(c))
+            if good and first is None:
+                first = c
+            elif not good and first is not None:
+                ranges.append((first, c - 1))
+                first = None
+    return r"\u4E00-\u9FA5" + "".join(f"\\u{a:04X}-\\u{b:04X}" for a, b in ranges)
+
+
+# (one class of many ranges is slow for the characters of ASCII, which are most)
+_UNSTABLE = rf"[^\x00-\x7F](?<![{_stable()}])"
+
+
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
@@ -47,18 +66,19 @@ def _nfkc(s: pd.Series) -> pd.Series:
 def normalized(x: Column, nfkc: bool = True) -> Column:
     """Compatibility form, single spaces, no blanks around line ends or at the edges; null when nothing is left.
 
-    Only texts beyond ASCII go through Python: for others the compatibility form is the text itself.
+    Only texts with characters that the compatibility form may change go through Python: for others it is the text itself.
     """
     return F.nullif(spaced(missing_to_null(x), nfkc), F.lit(""))
 
 
 def spaced(t: Column, nfkc: bool = True) -> Column:
     """``normalized`` for a text that is trimmed and not missing; empty when nothing is left."""
-    t = F.regexp_replace(t, "\r\n?", "\n")
+    t = F.when(t.contains("\r"), F.regexp_replace(t, "\r\n?", "\n")).otherwise(t)
     if nfkc:
-        t = F.coalesce(F.pandas_udf(_nfkc, StringType())(F.when(t.rlike(r"[^\x00-\x7F]"), t)), t)
+        t = F.coalesce(F.pandas_udf(_nfkc, StringType())(F.when(t.rlike(_UNSTABLE), t)), t)
     t = F.regexp_replace(t, _ACROSS, " ")
-    return strip(F.regexp_replace(t, _LINE_ENDS, "\n"))
+    # most texts have no space beside a line end; the only element of an array is worked out once
+    return strip(F.transform(F.array(t), lambda x: F.when(x.contains(" \n") | x.contains("\n "), F.regexp_replace(x, _LINE_ENDS, "\n")).otherwise(x))[0])
 
 
 def keywords(x: Column) -> Column:
@@ -122,6 +142,13 @@ def semantic_input(x: Column) -> Column:
     return F.lower(strip(F.regexp_replace(t, rf"{_BLANK}+", " ")))
 
 
+def has_semantic_input(x: Column) -> Column:
+    """Whether ``semantic_input`` leaves anything: a letter, sign of a number that is no digit, or underscore outside of links. Links are
+    passed over as a whole, other characters one by one, and the first such character ends the search."""
+    kept = r"\p{L}\p{Nl}\p{No}_"
+    return F.coalesce(x, F.lit("")).rlike(rf"^(?:(?iU:http\S+|www\.\S+)|[^{kept}])*+[{kept}]")
+
+
 def domain_parts(x: Column) -> Column:
     """A struct of a link's host, registered domain and subdomain; all null without a host. The scheme may be left out."""
     value = missing_to_null(x)

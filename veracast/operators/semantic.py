@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import semantic_settings
-from ..functions.text import semantic_input
+from ..functions.text import has_semantic_input, semantic_input
 
 #: Checkpoints without a trained classification head, which must not be used for scoring.
 UNTRAINED_MODELS = ("xlmr_base_multilingual", "xlm-roberta-base", "FacebookAI/xlm-roberta-base")
@@ -44,7 +44,7 @@ class ExpressionScorer:
 
     def apply(self, df: DataFrame, config: dict[str, Any]) -> DataFrame:
         settings = semantic_settings(config)
-        ok = is_supported(F.col("language"), settings["supported_languages"]) & (semantic_input(F.col("normalized_text")) != "")
+        ok = is_supported(F.col("language"), settings["supported_languages"]) & has_semantic_input(F.col("normalized_text"))
         score = F.when(ok, self.expression().cast("float").cast("double")).otherwise(float(settings["unsupported_language_score"]))
         return df.withColumns({"roberta_score": score, "semantic_model_applied_flag": ok.cast("byte")})
 
